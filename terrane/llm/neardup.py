@@ -13,7 +13,7 @@
    bucket is capped and none is expanded within a component.
 5. Verified links give the groups as connected components.
 
-At a similarity of exactly 0.65 a pair of unequal contents meets in theory with probability 0.985, at 0.7 with 0.998;
+At a similarity of exactly 0.65 a pair of unequal contents meets in theory with probability 0.974, at 0.7 with 0.997;
 links over third records add to that.
 
 Defined results: null and short contents belong to no group; the empty table has no groups; records delivered twice are
@@ -35,7 +35,7 @@ from terrane.operators.components import connected_components
 from terrane.runtime import materialize, spread
 
 GRAM, SIMILARITY, SHORTEST = 5, 0.65, 100
-WIDTH, TABLES = 7, 12
+WIDTH, TABLES = 8, 14
 #: Entries of a packed block, and characters hashed at once.
 BLOCK, CHARS = 1 << 20, 2_000_000
 #: A set of ids up to this many (16 MB) is broadcast, a larger one is joined by a shuffle.
