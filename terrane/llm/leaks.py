@@ -6,7 +6,7 @@ A randomised SVD of the passages' windows gives a latent space: every partition
 matrix and back, the sum is orthogonalised. Each document window that holds enough of the passages' grams is projected
 and compared by cosine with all passage windows; document and item become candidates at a cosine of COSINE. Candidates
 are then checked exactly: a shared run of RUN characters is a leak; otherwise the longest common subsequence of the best
-windows and the presence of the answer decide about a paraphrase.
+windows and the presence of the answer together decide about a paraphrase.
 
 The passages are the small side: they are taken in blocks of ITEMS, and what is broadcast is bounded by a block. The
 documents are scanned once for the frequencies and once a block for the search, without a shuffle of their texts.
@@ -30,7 +30,7 @@ from terrane.runtime import spread
 
 GRAM, WINDOW, RUN = 5, 80, 40
 #: Dimensions of the latent space, least grams of a window that are known, least cosine of a candidate.
-RANK, KNOWN, COSINE = 128, 20, 0.3
+RANK, KNOWN, COSINE = 128, 20, 0.4
 ITEMS = 2000
 #: A paraphrase: least cosine, and least share of the passage window in the common subsequence.
 PARAPHRASE_COSINE, PARAPHRASE_LCS = 0.6, 0.6
@@ -228,7 +228,7 @@ def _search(shared, exact_only: bool):
                         other = passage[theirs * half : theirs * half + WINDOW].tolist()
                         lcs = common("".join(map(chr, own)), "".join(map(chr, other))) / max(1, len(other))
                         has = len(answer) > 0 and _holds(text.astype("<u4").tobytes(), answer.astype("<u4").tobytes())
-                    if shared_run or (lcs is not None and lcs >= PARAPHRASE_LCS):
+                    if shared_run or (lcs is not None and has and lcs >= PARAPHRASE_LCS):
                         rows.append((int(ids[k]), item_id, cosine, shared_run, lcs, has))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()]

@@ -65,16 +65,27 @@ SCRIPTS = (
 FILLER = (
     r"^[xX.·\-_*#\s]{3,}$",
     r"占位文字|待补充|示例文本|填充文字|测试文字",
-    r"(?:text|paragraph|content|copy|title) goes here|lorem ipsum|replace this (?:text|paragraph)|sample (?:text|paragraph)\b.{0,20}here|blindtext|faux[- ]texte",
+    r"(?:text|paragraph|content|copy|title) goes here|lorem ipsum|replace this (?:text|paragraph)|^sample (?:heading|text|paragraph)\W*$|blindtext|faux[- ]texte|^click to edit|^add your \w+\W*$|^loading\W*$",
 )
+#: A line that can match one of the above holds one of these.
+STEMS = (
+    "error fehler erreur exception 错误 403 404 429 500 502 503 504 bad unauthorized denied refusé verweigert authorized permission 没有权限 无权 "
+    "page seite wrong upstream connect maintenance wartung back 维护 系统 联系 超时 服务器 登录 expired abgelaufen traceback file raise "
+    "script 脚本 browser xx .. -- __ ** 占位 待补充 示例 填充 测试 here lorem replace sample blindtext faux click add loading"
+)
+#: Words of a text that talks about such phrases instead of showing them.
+TALK = r"\b(?:usually|means? that|because|such as|so we|we (?:ask|added|use|saw|count|keep|drop)\w*|our|counted|replaced by|wir|unsere?|nous|notre|nos)\b|时，|检测由|命中率|替换为|负责|我们|因为|表示|通常|为何|说明"
+
 FILLER_WORDS = r"(?:lor[eu]m|ips|dolor|amet|consec|tetur|adipi|elit|sedum?$|sed$|tempor|incid|labor|magn|aliq|veni|enim|quis|exerc|minim|sit(?:que)?$|x{3,}$|asdf|qwer|blah$|foo$|bar$|baz$|test$|text$|abc$|xyz$)"
-FURNITURE = r"^\W*(?:#{1,6} .*|\d{1,2}\.\d{1,2}\.\d{2,4}|(?:home|docs|contact|imprint|impressum|start|back|menu|kontakt|accueil|首页)\b[^.!?。]{0,80})$|^[\w \-]{1,40}$|^[^|]{1,30}(?:\|[^|]{1,30}){1,5}$"
+FURNITURE = r"^\W*(?:#{1,6} .*|\d{1,2}\.\d{1,2}\.\d{2,4}|(?:home|docs|contact|imprint|impressum|start|back|menu|kontakt|accueil|首页)\b[^.!?。]{0,80})$|^[\w \-]{1,40}$|^[^|]{1,30}(?:\|[^|]{1,30}){1,5}$|^[\w\-]{2,30}/\d[\d.]*$"
 
 _PLACE = re.compile("|".join(PLACEHOLDERS))
 _HINT = re.compile(r"[{$#%<@\[_【（(]")
 _LINE = re.compile("|".join((*STATUS, *SCRIPTS, *FILLER)), re.I)
 _FILL = re.compile(FILLER_WORDS, re.I)
 _FURN = re.compile(FURNITURE, re.I)
+_STEMS = tuple(STEMS.split())
+_TALK = re.compile(TALK, re.I)
 _CODE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]*?[^`]\1(?!`)|`[^`\n]`")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -95,10 +106,14 @@ def placeholders(text: str) -> int:
 
 
 def _is_residue(line: str) -> bool:
-    if len(line) <= 400 and _LINE.search(line):
+    low = line.lower()
+    if len(line) <= 400 and any(k in low for k in _STEMS) and _LINE.search(line) and not (_TALK.search(line) and not line.lower().startswith("we are down")):
         return True
+    words = _WORDS.findall(line[:120])
+    if len(words) < 4 or sum(bool(_FILL.match(w)) for w in words) < 0.6 * len(words):
+        return False
     words = _WORDS.findall(line)
-    return len(words) >= 4 and sum(bool(_FILL.match(w)) for w in words) >= 0.7 * len(words)
+    return sum(bool(_FILL.match(w)) for w in words) >= 0.7 * len(words)
 
 
 def residue_share(text: str) -> tuple[float, int]:
