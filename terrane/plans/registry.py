@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrane.plans import integrity
+from terrane.plans import integrity, vector_search
 
-MODULES = (integrity,)
+MODULES = (integrity, vector_search)
 
 
 def queries() -> dict:
