@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.fingerprints import gram_hashes, joined
+from terrane.llm.fingerprints import _BASE, gram_hashes, joined, mix
 from terrane.runtime import spread
 
 GRAM, WINDOW, RUN = 5, 80, 40
 #: Dimensions of the latent space, least grams of a window that are known, least cosine of a candidate.
-RANK, KNOWN, COSINE = 128, 20, 0.4
+RANK, KNOWN, COSINE = 128, 20, 0.5
 ITEMS = 2000
 #: A paraphrase: least cosine, and least share of the passage window in the common subsequence.
 PARAPHRASE_COSINE, PARAPHRASE_LCS = 0.6, 0.6
@@ -174,20 +174,42 @@ def common(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def longest_run(a: np.ndarray, b: np.ndarray, least: int = RUN) -> int:
-    """Length of the longest run both hold, 0 if under `least`."""
-    x, y = gram_hashes(a, least), gram_hashes(b, least)
-    hit = np.isin(x, y)
-    if not hit.any():
+def run_hashes(c: np.ndarray, n: int = RUN) -> np.ndarray:
+    """A hash of the n characters that begin at each position, put together from runs of doubled length."""
+    m = len(c) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    h, out, done, size, base = c.astype(np.uint64) + np.uint64(1), None, 0, 1, _BASE
+    with np.errstate(over="ignore"):
+        while True:
+            if n & size:
+                part = h[done : done + m]
+                out = part.copy() if out is None else out * base + part
+                done += size
+            if 2 * size > n:
+                return mix(out)
+            h = h[:-size] * base + h[size:]
+            base, size = base * base, size * 2
+
+
+def longest_run(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, least: int = RUN) -> int:
+    """Length of the longest run of a and b, 0 if under `least`; x and y are their `run_hashes`, y sorted."""
+    at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
+    hit = np.flatnonzero(y[at] == x) if len(y) and len(x) else np.zeros(0, np.int64)
+    if not len(hit):
         return 0
     s, t = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-    best, i = 0, 0
-    starts = np.flatnonzero(hit)
-    while i < len(starts):
-        k, n = int(starts[i]), max(least, best + 1)
-        while k + n <= len(a) and _holds(t, s[4 * k : 4 * (k + n)]):
-            best, n = n, n + 1
-        i += 1
+    best, edge = 0, np.flatnonzero(np.concatenate([[True], np.diff(hit) != 1]))
+    for i, j in zip(hit[edge].tolist(), hit[np.append(edge[1:], len(hit)) - 1].tolist()):
+        while j - i + least > best:  # hits in a row are one run, or runs that follow each other
+            n = j - i + least
+            if _holds(t, s[4 * i : 4 * (i + n)]):
+                best = n
+                break
+            k = i + max(least, best + 1)
+            while k - i <= n and _holds(t, s[4 * i : 4 * k]):
+                best, k = k - i, k + 1
+            i += 1
     return best
 
 
@@ -209,27 +231,32 @@ def _search(shared, exact_only: bool):
                 d, w, f, start = _windows(doc[known], pos[known], n, KNOWN)
                 if not len(start):
                     continue
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                vectors = _latent(f, start, idf, basis)
+                vectors, hits = _latent(f, start, idf, basis), []
                 for s in range(0, len(vectors), 4000):
                     cos = vectors[s : s + 4000] @ item_vectors.T
-                    for i, j in np.argwhere(cos >= COSINE):
-                        key, x = (int(d[start[s + i]]), int(owner[j])), float(cos[i, j])
-                        if key not in best or best[key][0] < x:
-                            best[key] = x, int(w[start[s + i]]), int(place[j])
-                for (k, item), (cosine, mine, theirs) in best.items():
+                    i, j = np.nonzero(cos >= COSINE)
+                    hits.append((d[start[s + i]], owner[j], cos[i, j], w[start[s + i]], place[j]))
+                ds, js, cs, mine, theirs = (np.concatenate(x) for x in zip(*hits))
+                o = np.lexsort((-cs, js, ds))
+                ds, js, cs, mine, theirs = ds[o], js[o], cs[o], mine[o], theirs[o]
+                best = np.flatnonzero(np.concatenate([[True], (ds[1:] != ds[:-1]) | (js[1:] != js[:-1])])) if len(ds) else ()
+                last, own = -1, None
+                for r in best:
+                    k, item = int(ds[r]), int(js[r])
                     text = c[at[k] : at[k + 1]]
-                    item_id, passage, answer = items[item]
-                    shared_run = longest_run(text, passage)
+                    if k != last:
+                        last, own = k, run_hashes(text)
+                    item_id, passage, answer, runs = items[item]
+                    shared_run = longest_run(text, passage, own, runs)
                     lcs, has = None, None
-                    if not exact_only and (shared_run or cosine >= PARAPHRASE_COSINE):
+                    if not exact_only and (shared_run or cs[r] >= PARAPHRASE_COSINE):
                         half = WINDOW // 2
-                        own = text[mine * half : mine * half + WINDOW].tolist()
-                        other = passage[theirs * half : theirs * half + WINDOW].tolist()
-                        lcs = common("".join(map(chr, own)), "".join(map(chr, other))) / max(1, len(other))
+                        this = text[mine[r] * half : mine[r] * half + WINDOW].tolist()
+                        other = passage[theirs[r] * half : theirs[r] * half + WINDOW].tolist()
+                        lcs = common("".join(map(chr, this)), "".join(map(chr, other))) / max(1, len(other))
                         has = len(answer) > 0 and _holds(text.astype("<u4").tobytes(), answer.astype("<u4").tobytes())
                     if shared_run or (lcs is not None and has and lcs >= PARAPHRASE_LCS):
-                        rows.append((int(ids[k]), item_id, cosine, shared_run, lcs, has))
+                        rows.append((int(ids[k]), item_id, float(cs[r]), shared_run, lcs, has))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], ["doc_id", "item_id", "cosine", "run", "lcs", "answer"])
@@ -261,7 +288,7 @@ def _one_block(docs: DataFrame, items: DataFrame, exact_only: bool) -> DataFrame
     d, w, f, start = _windows(doc[known], pos[known], n, 1)
     vectors = _latent(f, start, idf, basis)
     answers, ends = reduced([r[2] or "" for r in rows])
-    own = [(r[0], c[at[i] : at[i + 1]], answers[ends[i] : ends[i + 1]]) for i, r in enumerate(rows)]
+    own = [(r[0], c[at[i] : at[i + 1]], answers[ends[i] : ends[i + 1]], np.unique(run_hashes(c[at[i] : at[i + 1]]))) for i, r in enumerate(rows)]
     shared = sc.broadcast((vocab, idf, basis, own, vectors, d[start] if len(start) else d, w[start] if len(start) else w))
     return docs.mapInArrow(_search(shared, exact_only), _SCHEMA)
 
