@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from terrane.llm.fingerprints import gram_hashes, joined
 from terrane.runtime import spread
 
-GRAM, BITS, SAMPLE, STEPS, PENALTY = 5, 17, 20_000, 80, 1e-4
+GRAM, BITS, SAMPLE, STEPS, PENALTY = 5, 17, 8_000, 60, 1e-4
 _CHARS = 2_000_000
 
 # Placeholder syntaxes, and phrases of status pages, script notices and filler.
@@ -184,10 +184,15 @@ class Classifier:
         return self.SCALE * np.bincount(doc, self.grams[bucket], minlength=n) / counts + np.c_[x, np.ones(n)] @ self.dense
 
     def fit(self, texts: list[str], x: np.ndarray, y: np.ndarray) -> Classifier:
-        doc, bucket = hashed(texts)
-        cell, times = np.unique(doc * (1 << BITS) + bucket, return_counts=True)
-        doc, bucket = cell >> BITS, cell & ((1 << BITS) - 1)
-        share = self.SCALE * times / np.maximum(np.bincount(doc, times, minlength=len(texts)), 1)[doc]
+        docs, buckets, shares = [], [], []
+        for s in range(0, len(texts), 200):  # bounds the n-grams held at once
+            doc, bucket = hashed(texts[s : s + 200])
+            cell, times = np.unique(doc * (1 << BITS) + bucket, return_counts=True)
+            d = cell >> BITS
+            docs.append((d + s).astype(np.int32))
+            buckets.append((cell & ((1 << BITS) - 1)).astype(np.int32))
+            shares.append((self.SCALE * times / np.maximum(np.bincount(d, times), 1)[d]).astype(np.float32))
+        doc, bucket, share = np.concatenate(docs), np.concatenate(buckets), np.concatenate(shares)
         full = np.c_[x, np.ones(len(x))]
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
         sg, sd = np.full(1 << BITS, 1e-12), np.full(full.shape[1], 1e-12)
@@ -220,7 +225,8 @@ def train(rows: list[tuple[str, str | None, str | None]]) -> tuple[Classifier |
     model = Classifier().fit([rows[i][0] for i in fit], feats[fit], np.array([labels[i] for i in fit]))
     figures = {"fitted": len(fit), "tested": len(test)}
     if len({labels[i] for i in test}) == 2:
-        p, y = model.scores([rows[i][0] for i in test], feats[test]), np.array([labels[i] for i in test])
+        p = np.concatenate([model.scores([rows[i][0] for i in test[s : s + 200]], feats[test[s : s + 200]]) for s in range(0, len(test), 200)])
+        y = np.array([labels[i] for i in test])
         f1 = lambda c: 2 * ((p > c) & (y == 1)).sum() / max(1, (p > c).sum() + y.sum())
         model.threshold = max((c / 20 for c in range(2, 19)), key=lambda c: (round(float(f1(c)), 6), -abs(c - 0.5)))
         figures |= {"f1": round(float(f1(model.threshold)), 4), "threshold": model.threshold}
