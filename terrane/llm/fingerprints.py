@@ -6,6 +6,8 @@ import numpy as np
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a sort key that number the text: fewer than 2 ** TEXT_BITS texts at once.
+TEXT_BITS = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,7 +52,10 @@ def min_symbols(texts: list[str], n: int, bins: int) -> tuple[np.ndarray, np.nda
     pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[:-1], size)
     h = h[pos] | np.uint64(1)
     # one sortable number: text, then bin and hash by the high bits of the hash
-    bits = max(1, int(len(texts)).bit_length())
+    # the same number of hash bits is kept whatever the number of texts, else symbols of two batches could not meet
+    bits = TEXT_BITS
+    if len(texts) >= 1 << bits:
+        raise ValueError("too many texts at once")
     key = np.sort((doc.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]

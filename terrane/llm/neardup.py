@@ -36,8 +36,8 @@ from terrane.runtime import materialize, spread
 
 GRAM, SIMILARITY, SHORTEST = 5, 0.65, 100
 WIDTH, TABLES = 8, 14
-#: Entries of a packed block, and characters hashed at once.
-BLOCK, CHARS = 1 << 20, 2_000_000
+#: Entries of a packed block; characters and texts hashed at once.
+BLOCK, CHARS, TEXTS = 1 << 20, 2_000_000, 20_000
 #: A set of ids up to this many (16 MB) is broadcast, a larger one is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: A bucket is paired in parts of this many records.
@@ -79,7 +79,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chunks(texts: list[str]) -> Iterator[slice]:
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHARS:
+        if size and (size + len(t) > CHARS or i - start >= TEXTS):
             yield slice(start, i)
             start, size = i, 0
         size += len(t)

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from terrane.runtime import materialize, spread
 
 SAMPLE, ITERATIONS = 16_384, 8
-PROBES = 12
+#: Least number of lists a query probes, and the share of the root of all lists it grows to.
+PROBES, PROBE_SHARE = 12, 0.9
 BLOCK = 4096
 #: Columns scanned before each test, and the significance of a test (larger abandons less).
 COLUMNS, EPSILON = 16, 2.1
@@ -128,10 +129,32 @@ def scan(q: np.ndarray, v: np.ndarray, k: int, turn: np.ndarray, columns: int =
         step = slice(seen, min(dims, seen + columns))
         d = d + ((x[i, step] - y[j, step]) ** 2).sum(1)
         seen = step.stop
-        limit = bar[i] if seen == dims else bar[i] * (seen / dims) * (1 + epsilon / math.sqrt(seen)) ** 2
+        if seen < dims:
+            at, lead = _leaders(i, d, m)
+            full = 2 - 2 * np.einsum("nd,nd->n", x[i[lead]], y[j[lead]])
+            enough = np.diff(np.append(at, len(lead))) >= m
+            bar[i[lead[at[enough]]]] = np.minimum(bar[i[lead[at[enough]]]], np.maximum.reduceat(full, at)[enough] + 1e-6)
+            limit = bar[i] * (seen / dims) * (1 + epsilon / math.sqrt(seen)) ** 2
+        else:
+            limit = bar[i]
         ok = d <= limit + 1e-6
         i, j, d = i[ok], j[ok], d[ok]
-    return i, j
+    if not len(i):
+        return i, j
+    at, lead = _leaders(i, d, m)
+    worst = np.full(len(q), -1.0, np.float32)
+    worst[i[lead[at]]] = np.maximum.reduceat(d[lead], at)
+    ok = d <= worst[i] + 1e-5
+    return i[ok], j[ok]
+
+
+def _leaders(i: np.ndarray, d: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The m rows of least d of every i, in order of i, and where each i begins among them."""
+    o = np.lexsort((d, i))
+    head = np.flatnonzero(np.concatenate([[True], np.diff(i[o]) != 0]))
+    place = np.arange(len(o)) - np.repeat(head, np.diff(np.append(head, len(o))))
+    lead = o[place < m]
+    return np.flatnonzero(np.concatenate([[True], np.diff(i[lead]) != 0])), lead
 
 
 def _nearest(k: int, dims: int):
@@ -164,10 +187,11 @@ def _nearest(k: int, dims: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 10, asked: Column | None = None, dims: int = 64, probes: int = PROBES, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, asked: Column | None = None, dims: int = 64, probes: int | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(id, neighbour_id, rank, similarity): the k most similar other rows of every row, or of the rows `asked` picks by id.
 
-    `probes` trades accuracy for time; with as many probes as there are lists the scan covers everything.
+    `probes` trades accuracy for time; with as many probes as there are lists the scan covers everything. By default it
+    grows with the root of the number of lists, which keeps the accuracy as the collection grows.
     """
     spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where("id is not null and size(vector) = " + str(dims))
@@ -179,6 +203,7 @@ def neighbours(vectors: DataFrame, k: int = 10, asked: Column | None = None, dim
     if not len(fit):
         return spark.createDataFrame([], "id bigint, neighbour_id bigint, rank int, similarity double")
     c = centroids(fit, lists)
+    probes = min(len(c), probes or max(PROBES, math.ceil(PROBE_SHARE * math.sqrt(len(c)))))
     listed = materialize(spread(slim, "id").mapInArrow(_assign(spark.sparkContext.broadcast(c), dims), _LISTED), "listed")
     # one row a list
     queries = listed if asked is None else listed.where(asked)

@@ -35,7 +35,7 @@ PLACEHOLDERS = (
     r"#\{\s*[\w.\- ]+\s*\}",
     r"\{%\s*[\w.\- ]+\s*%\}",
     r"<%=?\s*[\w.\- ]+\s*%>",
-    r"<<\s*[\w.\-]+\s*>>",
+    r"<<[\w.\-]+>>",
     r"@@\s*[\w.\-]+\s*@@",
     r"\[\[\s*[\w.\-]+\s*\]\]",
     r"(?<![\w%])%[A-Za-z_][\w.]{2,}%(?!\w)",
