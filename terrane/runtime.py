@@ -43,9 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` to the shared folder and read it back: the lineage is cut and lost executors recompute nothing before it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # removed when the driver's JVM ends
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
