@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.runtime import materialize
+
 # The weight curve of hybrid ranking.
 BASELINE, AMPLITUDE, SLOPE, MIDPOINT = 0.4, 0.3, 1.0, 6.0
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """Rows numbered from 1 in a total order, without a task that sees them all: rows are range partitioned, and each
+    partition counts on from the rows of those before it."""
+    part = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return part.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + local).drop("_part", "_offset")
+
+
 def top_k(df: DataFrame, keys: list[str], score: str, pos: str, k: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), pos)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -46,13 +58,13 @@ def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
     """(item, score, position) from (list_no, rank, item) with ranks from 0: the sum of 1 / (rank + k), in the order of
     score, then first appearance."""
     s = lists.groupBy("item").agg(F.round(F.sum(1 / (F.col("rank") + k)), 9).alias("score"), F.min(F.struct("list_no", "rank")).alias("seen"))
-    return s.select("item", "score", F.row_number().over(Window.orderBy(F.col("score").desc(), "seen")).alias("position"))
+    return numbered(s, [F.col("score").desc(), F.col("seen")], "position").select("item", "score", "position")
 
 
 def keep_best(df: DataFrame, score: str, share: float, pos: str) -> DataFrame:
     """The first round(n * share) rows by score; round is half to even."""
     n = df.agg(F.bround(F.count(F.lit(1)) * F.lit(share)).alias("n"))
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), pos)))
+    ranked = numbered(df, [F.col(score).desc(), F.col(pos)], "rank")
     return ranked.join(F.broadcast(n)).where("rank <= n").drop("n")
 
 

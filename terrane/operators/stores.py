@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.ranking import numbered
+
 MAX_FILTER_KEYS = 32
 
 
@@ -22,17 +24,10 @@ def document_filter(filters: dict | None) -> list[int] | None:
 
 def add_chunks(store: DataFrame, new: DataFrame, order: list[str], id_col: str = "chunk_id") -> DataFrame:
     """`new` with ids that continue the greatest one, in `order`.
-
-    Numbers are given in two levels, so no task sees all rows: rows are range partitioned and sorted, partitions get
-    their offsets from their counts.
     """
-    from terrane.runtime import materialize
-
     top = store.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
-    part = materialize(new.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "add")
-    offsets = part.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).withColumn("_offset", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return part.join(F.broadcast(offsets), "_part").join(F.broadcast(top)).withColumn(id_col, F.col("top") + F.col("_offset") + local).drop("_part", "_offset", "top")
+    out = numbered(new, [F.col(c) for c in order], "_number")
+    return out.join(F.broadcast(top)).withColumn(id_col, F.col("top") + F.col("_number")).drop("_number", "top")
 
 
 def delete_by(store: DataFrame, keys: DataFrame, on: str) -> DataFrame:

@@ -36,14 +36,15 @@ def hybrid_rerank(s: SparkSession, d: str) -> DataFrame:
 def rrf(s: SparkSession, d: str) -> DataFrame:
     """Two lists: documents by length and by time."""
     docs = table(s, d, "documents")
-    rank = lambda n, *o: docs.select(F.lit(n).alias("list_no"), (F.row_number().over(Window.orderBy(*o)) - 1).alias("rank"), F.col("doc_id").alias("item")).where("rank < 100")
+    # only the 100 rows of a list are numbered
+    rank = lambda n, *o: docs.orderBy(*o).limit(100).select(F.lit(n).alias("list_no"), (F.row_number().over(Window.orderBy(*o)) - 1).alias("rank"), F.col("doc_id").alias("item"))
     return R.rrf(rank(0, F.col("n_chars").desc(), "doc_id").unionByName(rank(1, F.col("create_time").desc_nulls_last(), "doc_id")))
 
 
 def feature_select(s: SparkSession, d: str) -> DataFrame:
     """Pairs ranked by two scores, fused, and the best 80 % kept (half to even)."""
     p = table(s, d, "correctness_classifier").dropDuplicates(["pair_id"]).select("pair_id", F.coalesce(F.length("question"), F.lit(0)).alias("a"), F.coalesce(F.size("ground_truth"), F.lit(0)).alias("b"))
-    rank = lambda n, c: p.select(F.lit(n).alias("list_no"), (F.row_number().over(Window.orderBy(F.col(c).desc(), "pair_id")) - 1).alias("rank"), F.col("pair_id").alias("item"))
+    rank = lambda n, c: R.numbered(p, [F.col(c).desc(), F.col("pair_id")]).select(F.lit(n).alias("list_no"), (F.col("number") - 1).alias("rank"), F.col("pair_id").alias("item"))
     fused = R.rrf(rank(0, "a").unionByName(rank(1, "b")))
     return R.keep_best(fused, "score", 0.8, "position").select("item", "score")
 
