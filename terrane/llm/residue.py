@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,9 +71,10 @@ FILLER = (
 )
 #: A line that can match one of the above holds one of these.
 STEMS = (
-    "error fehler erreur exception 错误 403 404 429 500 502 503 504 bad unauthorized denied refusé verweigert authorized permission 没有权限 无权 "
-    "page seite wrong upstream connect maintenance wartung back 维护 系统 联系 超时 服务器 登录 expired abgelaufen traceback file raise "
-    "script 脚本 browser xx .. -- __ ** 占位 待补充 示例 填充 测试 here lorem replace sample blindtext faux click add loading"
+    "error|fehler|erreur|exception|错误|403|404|429|500|502|503|504|(4|(5|（4|（5|http|status|code|bad gateway|bad request|unauthorized|forbidden|unavailable|too many|time-out|timeout|"
+    "denied|refusé|verweigert|not authorized|permission to|没有权限|无权|page is|page not|page you|not found|does not exist|seite wurde|page est|页面|网页|"
+    "something went|upstream|connection|scheduled maint|be back|wartungs|en maintenance|维护中|系统内部|联系管理员|请求超时|服务器|登录|expired|abgelaufen|traceback|file \"|raise |"
+    "script|脚本|checking your|xx|..|--|__|**|占位|待补充|示例文本|填充文字|测试文字|goes here|lorem ipsum|replace this|sample |blindtext|faux|click to|add your|loading"
 )
 #: Words of a text that talks about such phrases instead of showing them.
 TALK = r"\b(?:usually|means? that|because|such as|so we|we (?:ask|added|use|saw|count|keep|drop)\w*|our|counted|replaced by|wir|unsere?|nous|notre|nos)\b|时，|检测由|命中率|替换为|负责|我们|因为|表示|通常|为何|说明"
@@ -84,7 +87,6 @@ _HINT = re.compile(r"[{$#%<@\[_【（(]")
 _LINE = re.compile("|".join((*STATUS, *SCRIPTS, *FILLER)), re.I)
 _FILL = re.compile(FILLER_WORDS, re.I)
 _FURN = re.compile(FURNITURE, re.I)
-_STEMS = tuple(STEMS.split())
 _TALK = re.compile(TALK, re.I)
 _CODE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]*?[^`]\1(?!`)|`[^`\n]`")
@@ -92,6 +94,15 @@ _WORDS = re.compile(r"[^\W\d_]+")
 DENSE = ("placeholder", "placeholders", "residue", "mainly", "lines", "length", "short", "titled", "markup")
 
 
+@lru_cache(1)
+def _stems() -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for k in STEMS.split("|"):
+        out.add_word(k, k)
+    out.make_automaton()
+    return out
+
+
 def outside_code(text: str) -> str:
     if "`" not in text and "~~~" not in text:
         return text
@@ -106,8 +117,7 @@ def placeholders(text: str) -> int:
 
 
 def _is_residue(line: str) -> bool:
-    low = line.lower()
-    if len(line) <= 400 and any(k in low for k in _STEMS) and _LINE.search(line) and not (_TALK.search(line) and not line.lower().startswith("we are down")):
+    if len(line) <= 400 and next(_stems().iter(line.lower()), None) and _LINE.search(line) and not (_TALK.search(line) and not line.lower().startswith("we are down")):
         return True
     words = _WORDS.findall(line[:120])
     if len(words) < 4 or sum(bool(_FILL.match(w)) for w in words) < 0.6 * len(words):
