@@ -1,7 +1,10 @@
 import random
 from itertools import combinations
 
-from terrane.llm.neardup import group_pairs, near_duplicates, normal, similarity
+import numpy as np
+
+from terrane.llm.fingerprints import ball_keys, min_symbols
+from terrane.llm.neardup import TABLES, WIDTH, group_pairs, near_duplicates, normal, similarity
 
 
 def words(r, n):
@@ -60,3 +63,17 @@ def test_sources_are_apart_and_empty_tables_have_no_groups(spark):
     assert groups.count() == 0
     groups, links = near_duplicates([(a.limit(0), "id", "text")])
     assert groups.count() == 0 and links.count() == 0
+
+
+def test_isolated_pairs_at_the_threshold_meet():
+    # texts of distinct characters stand for sets of shingles
+    r, keys = np.random.default_rng(3), lambda t: ball_keys(*min_symbols(t, 1, WIDTH * TABLES), TABLES, WIDTH)
+    for m in (96, 250):
+        shared, a, b = -(-2 * m * 65 // 165), [], []
+        for _ in range(500):
+            c = "".join(map(chr, r.choice(np.arange(0x10000, 0x20000), 2 * m - shared, replace=False)))
+            a.append(c[:m])
+            b.append(c[m - shared :])
+        assert similarity(a[0], b[0], 1) >= 0.65
+        met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(keys(a), keys(b))]
+        assert np.mean(met) >= 0.99, (m, np.mean(met))
