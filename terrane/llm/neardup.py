@@ -11,7 +11,8 @@
 4. Records of one variant are paired with the least of them and verified exactly on their texts; where the records of a
    variant are still in different components afterwards, the pairs between the components are verified as well. No
    bucket is capped and none is expanded within a component.
-5. Verified links give the groups as connected components.
+5. Verified links give the groups as connected components. Where links are counted, all pairs of different contents
+   within a group are verified.
 
 At a similarity of exactly 0.65 a pair of unequal contents meets with a simulated probability of 0.998 at 96 shingles,
 0.998 at 250 and 0.999 at 600 (1,200 pairs each); links over third records add to that.
@@ -220,9 +221,8 @@ def between_components(met: DataFrame, components: DataFrame, tested: DataFrame)
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def near_duplicates(sources: list[tuple[DataFrame, str, str]], least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(groups, links): groups has (uid, group_id) of every record that has a partner, links (a, b, similarity) between
-    different contents; equal contents are in one group and not repeated in links."""
+def _found(sources: list[tuple[DataFrame, str, str]], least: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(groups, links met so far, copies with their representative, contents)."""
     k = len(sources)
     docs = spread(contents(sources), "uid")
     digests = materialize(docs.mapInArrow(_digests, "uid bigint, d1 bigint, d2 bigint").distinct(), "digests")
@@ -240,7 +240,37 @@ def near_duplicates(sources: list[tuple[DataFrame, str, str]], least: float = SI
     # the stars of the first round stand for its links
     edges = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest.select("a", "b")).unionByName(copies.select(F.col("uid").alias("a"), F.col("rep").alias("b")))
     groups = connected_components(edges).select(F.col("id").alias("uid"), F.col("component").alias("group_id"))
-    return groups, close.unionByName(rest)
+    return groups, close.unionByName(rest), copies, docs
+
+
+def _all_links(groups: DataFrame, met: DataFrame, copies: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The links met so far and those among the other pairs of different contents within a group."""
+    others = group_pairs(groups.join(copies.select("uid"), "uid", "left_anti")).join(met.select("a", "b"), ["a", "b"], "left_anti")
+    return met.unionByName(verified(others, docs, least).where(F.col("similarity") >= least))
+
+
+def grouped(sources: list[tuple[DataFrame, str, str]], least: float = SIMILARITY) -> DataFrame:
+    """(uid, group_id) of every record that has a partner."""
+    return _found(sources, least)[0]
+
+
+def near_duplicates(sources: list[tuple[DataFrame, str, str]], least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(groups, links): groups has (uid, group_id) of every record that has a partner, links (a, b, similarity) all links
+    between different contents of a group; equal contents are in one group and not repeated in links."""
+    groups, met, copies, docs = _found(sources, least)
+    groups = materialize(groups, "groups")
+    return groups, _all_links(groups, met, copies, docs, least)
+
+
+def counted(sources: list[tuple[DataFrame, str, str]], least: float = SIMILARITY) -> DataFrame:
+    """(uid, group_id, n_links) of every record that has a partner: its links to other contents, copies having those of
+    their representative."""
+    groups, met, copies, docs = _found(sources, least)
+    groups = materialize(groups, "groups")
+    links = _all_links(groups, met, copies, docs, least)
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    g = groups.join(copies, "uid", "left").withColumn("rep", F.coalesce("rep", "uid")).join(ends, "rep", "left")
+    return g.select("uid", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.neardup import group_pairs, near_duplicates
+from terrane.llm.neardup import counted, group_pairs, grouped
 from terrane.runtime import materialize, table
 
 SOURCES = (("chunks_table", "chunk_id", "chunk_content"), ("mx_document", "mx_id", "page_content"))
 
 
-def _run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return near_duplicates([(table(spark, d, t), i, c) for t, i, c in SOURCES])
+def _sources(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, str]]:
+    return [(table(spark, d, t), i, c) for t, i, c in SOURCES]
 
 
 def _source(uid: str) -> Column:
@@ -24,16 +24,14 @@ def _id(uid: str) -> Column:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = group_pairs(materialize(_run(spark, d)[0], "groups"))
+    pairs = group_pairs(materialize(grouped(_sources(spark, d)), "groups"))
     return pairs.select(_source("a").alias("src_table"), _id("a").alias("id_a"), _id("b").alias("id_b"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per record with a partner: its group (the least id in it) and its number of links to other contents."""
-    groups, links = _run(spark, d)
-    ends = links.select(F.col("a").alias("uid")).unionByName(links.select(F.col("b").alias("uid"))).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
-    g = groups.join(ends, "uid", "left")
-    return g.select(_source("uid").alias("src_table"), _id("uid").alias("id"), _id("group_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    g = counted(_sources(spark, d))
+    return g.select(_source("uid").alias("src_table"), _id("uid").alias("id"), _id("group_id").alias("group_id"), "n_links")
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}

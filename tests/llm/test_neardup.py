@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 
 from terrane.llm.fingerprints import ball_keys, min_symbols
-from terrane.llm.neardup import TABLES, WIDTH, group_pairs, near_duplicates, normal, similarity
+from terrane.llm.neardup import TABLES, WIDTH, counted, group_pairs, near_duplicates, normal, similarity
 
 
 def words(r, n):
@@ -77,3 +77,17 @@ def test_isolated_pairs_at_the_threshold_meet():
         assert similarity(a[0], b[0], 1) >= 0.65
         met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(keys(a), keys(b))]
         assert np.mean(met) >= 0.99, (m, np.mean(met))
+
+
+def test_every_link_of_a_group_is_counted(spark):
+    r = random.Random(8)
+    base = words(r, 150)
+    docs = [(i, edited(r, base, 3)) for i in range(12)]
+    docs += [(20, docs[5][1].upper()), (21, words(r, 60)), (22, words(r, 60))]
+    df = spark.createDataFrame(docs, "id long, text string")
+    got = {x.uid: x.n_links for x in counted([(df, "id", "text")]).collect()}
+    texts = {normal(t) for _, t in docs[:12]}
+    want = {k: sum(u != normal(t) and similarity(normal(t), u) >= 0.65 for u in texts) for k, t in docs[:13]}
+    assert got == want
+    _, links = near_duplicates([(df, "id", "text")])
+    assert links.count() * 2 == sum(want[k] for k in range(12))
