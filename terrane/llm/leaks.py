@@ -4,9 +4,10 @@ Passages and documents are reduced to letters and digits in lower case and cut i
 overlapping. A window is a TF-IDF vector of character GRAM-grams, with document frequencies counted over all documents.
 A randomised SVD of the passages' windows gives a latent space: every partition multiplies its windows with a random
 matrix and back, the sum is orthogonalised. Each document window that holds enough of the passages' grams is projected
-and compared by cosine with all passage windows; document and item become candidates at a cosine of COSINE. Candidates
-are then checked exactly: a shared run of RUN characters is a leak; otherwise the longest common subsequence of the best
-windows and the presence of the answer together decide about a paraphrase.
+and compared by cosine with all passage windows; document and item become candidates at a cosine of PARAPHRASE_COSINE, or
+where the hash of any run of RUN characters of the document is one of the item's, so no shared run depends on the cosine.
+Candidates are then checked exactly: a shared run of RUN characters is a leak; otherwise the longest common subsequence of
+the best windows and the presence of the answer together decide about a paraphrase.
 
 The passages are the small side: they are taken in blocks of ITEMS, and what is broadcast is bounded by a block. The
 documents are scanned once for the frequencies and once a block for the search, without a shuffle of their texts.
@@ -29,8 +30,8 @@ from terrane.llm.fingerprints import _BASE, gram_hashes, joined, mix
 from terrane.runtime import spread
 
 GRAM, WINDOW, RUN = 5, 80, 40
-#: Dimensions of the latent space, least grams of a window that are known, least cosine of a candidate.
-RANK, KNOWN, COSINE = 128, 20, 0.5
+#: Dimensions of the latent space, least grams of a window that are known.
+RANK, KNOWN = 128, 20
 ITEMS = 2000
 #: A paraphrase: least cosine, and least share of the passage window in the common subsequence.
 PARAPHRASE_COSINE, PARAPHRASE_LCS = 0.6, 0.6
@@ -220,43 +221,73 @@ def _holds(text: bytes, part: bytes) -> bool:
     return at >= 0
 
 
+class Runs:
+    """The run hashes of all passages, and the items each belongs to."""
+
+    def __init__(self, hashes: list[np.ndarray]):
+        h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+        o = np.argsort(h, kind="stable")
+        self.known, self.items = Vocabulary(h), item[o]
+        self.start = np.append(np.searchsorted(h[o], self.known.hashes), len(h))
+
+    def pairs(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item), once each, that share a run; h: the run hashes of all texts in a row, which begin at `at`."""
+        pos, n = self.known.find(h)
+        text = np.searchsorted(at, pos, "right") - 1
+        ok = pos + RUN <= at[text + 1]  # runs that lie in one text
+        text, n = text[ok], n[ok]
+        times = self.start[n + 1] - self.start[n]
+        item = self.items[np.repeat(self.start[n] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        pair = np.unique(np.repeat(text, times) * (int(self.items.max(initial=0)) + 1) + item)
+        return np.divmod(pair, int(self.items.max(initial=0)) + 1)
+
+
 def _search(shared, exact_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, idf, basis, items, item_vectors, owner, place = shared.value
+        vocab, idf, basis, items, item_vectors, owner, place, passage_runs = shared.value
         for b in batches:
             rows = []
             for ids, texts in _texts(b):
                 h, doc, pos, c, at = _grams(texts)
                 known, n = vocab.find(h)
                 d, w, f, start = _windows(doc[known], pos[known], n, KNOWN)
-                if not len(start):
-                    continue
-                vectors, hits = _latent(f, start, idf, basis), []
+                all_runs = run_hashes(c)
+                ks, its = passage_runs.pairs(all_runs, at)
+                exact = set(zip(ks.tolist(), its.tolist()))
+                vectors = _latent(f, start, idf, basis)
+                hits = [(ks, its, np.full(len(ks), -2.0, np.float32), np.full(len(ks), -1), np.full(len(ks), -1))]
+                for r, (k, item) in enumerate(zip(ks.tolist(), its.tolist())):  # the best windows of a pair with a shared run
+                    a, b = np.searchsorted(d[start], [k, k + 1])
+                    x, y = np.searchsorted(owner, [item, item + 1])
+                    if a < b and x < y:
+                        cos = vectors[a:b] @ item_vectors[x:y].T
+                        i, j = np.unravel_index(cos.argmax(), cos.shape)
+                        for column, v in zip(hits[0][2:], (cos[i, j], w[start[a + i]], place[x + j])):
+                            column[r] = v
                 for s in range(0, len(vectors), 4000):
                     cos = vectors[s : s + 4000] @ item_vectors.T
-                    i, j = np.nonzero(cos >= COSINE)
+                    i, j = np.nonzero(cos >= PARAPHRASE_COSINE)
                     hits.append((d[start[s + i]], owner[j], cos[i, j], w[start[s + i]], place[j]))
                 ds, js, cs, mine, theirs = (np.concatenate(x) for x in zip(*hits))
                 o = np.lexsort((-cs, js, ds))
                 ds, js, cs, mine, theirs = ds[o], js[o], cs[o], mine[o], theirs[o]
                 best = np.flatnonzero(np.concatenate([[True], (ds[1:] != ds[:-1]) | (js[1:] != js[:-1])])) if len(ds) else ()
-                last, own = -1, None
                 for r in best:
                     k, item = int(ds[r]), int(js[r])
                     text = c[at[k] : at[k + 1]]
-                    if k != last:
-                        last, own = k, run_hashes(text)
                     item_id, passage, answer, runs = items[item]
-                    shared_run = longest_run(text, passage, own, runs)
+                    shared_run = longest_run(text, passage, all_runs[at[k] : max(at[k], at[k + 1] - RUN + 1)], runs) if (k, item) in exact else 0
                     lcs, has = None, None
-                    if not exact_only and (shared_run or cs[r] >= PARAPHRASE_COSINE):
+                    if not exact_only and mine[r] >= 0 and (shared_run or cs[r] >= PARAPHRASE_COSINE):
                         half = WINDOW // 2
                         this = text[mine[r] * half : mine[r] * half + WINDOW].tolist()
                         other = passage[theirs[r] * half : theirs[r] * half + WINDOW].tolist()
                         lcs = common("".join(map(chr, this)), "".join(map(chr, other))) / max(1, len(other))
+                    if not exact_only:
                         has = len(answer) > 0 and _holds(text.astype("<u4").tobytes(), answer.astype("<u4").tobytes())
                     if shared_run or (lcs is not None and has and lcs >= PARAPHRASE_LCS):
-                        rows.append((int(ids[k]), item_id, float(cs[r]), shared_run, lcs, has))
+                        rows.append((int(ids[k]), item_id, float(cs[r]) if mine[r] >= 0 else None, shared_run, lcs, has))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], ["doc_id", "item_id", "cosine", "run", "lcs", "answer"])
@@ -289,14 +320,15 @@ def _one_block(docs: DataFrame, items: DataFrame, exact_only: bool) -> DataFrame
     vectors = _latent(f, start, idf, basis)
     answers, ends = reduced([r[2] or "" for r in rows])
     own = [(r[0], c[at[i] : at[i + 1]], answers[ends[i] : ends[i + 1]], np.unique(run_hashes(c[at[i] : at[i + 1]]))) for i, r in enumerate(rows)]
-    shared = sc.broadcast((vocab, idf, basis, own, vectors, d[start] if len(start) else d, w[start] if len(start) else w))
+    shared = sc.broadcast((vocab, idf, basis, own, vectors, d[start] if len(start) else d, w[start] if len(start) else w, Runs([x[3] for x in own])))
     return docs.mapInArrow(_search(shared, exact_only), _SCHEMA)
 
 
 def leaks(documents: DataFrame, items: DataFrame, exact_only: bool = False) -> DataFrame:
     """(doc_id, item_id, cosine, run, lcs, answer): every document and item that share a passage, fully or partly.
 
-    run is the longest shared run, or 0 where the passage is paraphrased; lcs is the share of the best passage window in
+    run is the longest shared run, or 0 where the passage is paraphrased; cosine and lcs are null where no window of the
+    document holds enough of the passages' grams; lcs is the share of the best passage window in
     the common subsequence; answer tells whether the item's answer stands in the document.
     """
     docs = spread(documents.select("doc_id", "text").where("doc_id is not null and length(text) > 0"), "doc_id")

@@ -41,3 +41,16 @@ def test_runs_and_subsequences():
         y[20 : 20 + n] = x[100 : 100 + n]
         x[99], y[19], x[100 + n], y[20 + n] = 1, 2, 3, 4
         assert longest_run(x, y, run_hashes(x), np.unique(run_hashes(y))) == (n if n >= RUN else 0)
+
+
+def test_shared_runs_do_not_depend_on_the_cosine(spark):
+    # the run's grams are in many documents, those around it are rare; and a run of few distinct grams
+    r = np.random.default_rng(2)
+    rare = ["".join(map(chr, r.integers(97, 123, 300))) for _ in range(3)]
+    run_text = "thekeeperofthetarncountsthechestsatnightx"[:RUN]
+    a, b, c = rare[0][:140] + run_text + rare[0][140:], rare[1], "xy" * 30 + rare[2]
+    docs = [(i, "0" * 100 + run_text + "0" * 100) for i in range(60)]
+    docs += [(100, b[:90] + run_text + b[90:180]), (101, "zq" * 50 + "xy" * 20 + "zq" * 50), (102, run_text[:-1]), (103, run_text[1:])]
+    found = run(spark, docs, [(10, a, "no"), (11, b, "no"), (12, c, "no")]).where(f"run >= {RUN}")
+    got = {(x.doc_id, x.item_id) for x in found.collect()}
+    assert got == {(i, 10) for i in range(60)} | {(100, 10), (100, 11), (101, 12)}
