@@ -69,12 +69,12 @@ FILLER = (
     r"占位文字|待补充|示例文本|填充文字|测试文字",
     r"(?:text|paragraph|content|copy|title) goes here|lorem ipsum|replace this (?:text|paragraph)|^sample (?:heading|text|paragraph)\W*$|blindtext|faux[- ]texte|^click to edit|^add your \w+\W*$|^loading\W*$",
 )
-#: A line that can match one of the above holds one of these.
+#: A line that can match one of the above holds one of these, a number of the 4xx or 5xx kind, or is filler of one character.
 STEMS = (
-    "error|fehler|erreur|exception|错误|403|404|429|500|502|503|504|(4|(5|（4|（5|http|status|code|bad gateway|bad request|unauthorized|forbidden|unavailable|too many|time-out|timeout|"
+    "error|exception|bad gateway|unavailable|too many|time-out|timeout|"
     "denied|refusé|verweigert|not authorized|permission to|没有权限|无权|page is|page not|page you|not found|does not exist|seite wurde|page est|页面|网页|"
     "something went|upstream|connection|scheduled maint|be back|wartungs|en maintenance|维护中|系统内部|联系管理员|请求超时|服务器|登录|expired|abgelaufen|traceback|file \"|raise |"
-    "script|脚本|checking your|xx|..|--|__|**|占位|待补充|示例文本|填充文字|测试文字|goes here|lorem ipsum|replace this|sample |blindtext|faux|click to|add your|loading"
+    "script|脚本|checking your|占位|待补充|示例文本|填充文字|测试文字|goes here|lorem ipsum|replace this|sample |blindtext|faux|click to|add your|loading"
 )
 #: Words of a text that talks about such phrases instead of showing them.
 TALK = r"\b(?:usually|means? that|because|such as|so we|we (?:ask|added|use|saw|count|keep|drop)\w*|our|counted|replaced by|wir|unsere?|nous|notre|nos)\b|时，|检测由|命中率|替换为|负责|我们|因为|表示|通常|为何|说明"
@@ -85,6 +85,8 @@ FURNITURE = r"^\W*(?:#{1,6} .*|\d{1,2}\.\d{1,2}\.\d{2,4}|(?:home|docs|contact|im
 _PLACE = re.compile("|".join(PLACEHOLDERS))
 _HINT = re.compile(r"[{$#%<@\[_【（(]")
 _LINE = re.compile("|".join((*STATUS, *SCRIPTS, *FILLER)), re.I)
+_NUMBER = re.compile(r"[45]\d\d")
+_ONE = re.compile(FILLER[0])
 _FILL = re.compile(FILLER_WORDS, re.I)
 _FURN = re.compile(FURNITURE, re.I)
 _TALK = re.compile(TALK, re.I)
@@ -116,8 +118,16 @@ def placeholders(text: str) -> int:
     return len(_PLACE.findall(outside_code(text)))
 
 
+def _may_match(line: str) -> bool:
+    """False only for lines that _LINE can't match."""
+    low = line.lower()
+    if not low.isascii():  # letters that match s and i when case is ignored, but have another lower case
+        low = low.replace("\u017f", "s").replace("\u0131", "i").replace("i\u0307", "i")
+    return next(_stems().iter(low), None) is not None or _NUMBER.search(line) is not None or _ONE.search(line) is not None
+
+
 def _is_residue(line: str) -> bool:
-    if len(line) <= 400 and next(_stems().iter(line.lower()), None) and _LINE.search(line) and not (_TALK.search(line) and not line.lower().startswith("we are down")):
+    if len(line) <= 400 and _may_match(line) and _LINE.search(line) and not (_TALK.search(line) and not line.lower().startswith("we are down")):
         return True
     words = _WORDS.findall(line[:120])
     if len(words) < 4 or sum(bool(_FILL.match(w)) for w in words) < 0.6 * len(words):

@@ -1,4 +1,8 @@
-from terrane.llm.residue import dense, placeholders, residue, train, weak
+import random
+from re import _constants as C
+from re import _parser
+
+from terrane.llm.residue import _LINE, FILLER, SCRIPTS, STATUS, _is_residue, _may_match, dense, placeholders, residue, train, weak
 
 
 def test_placeholders_stand_outside_code():
@@ -39,3 +43,39 @@ def test_small_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "404 Not Found", "a", "x")], "doc_id long, text string, source string, document_name string")
     assert [r.residue for r in residue(df).collect()] == [True]
     assert residue(df.limit(0)).count() == 0
+
+
+def sample(r, items):
+    """A random text for a parsed pattern; anchors and assertions are ignored."""
+    out = ""
+    for op, v in items:
+        if op is C.LITERAL:
+            out += r.choice([chr(v), chr(v).upper()])
+        elif op is C.ANY:
+            out += r.choice("ab 1.")
+        elif op is C.IN:
+            kind, x = r.choice(v)
+            out += chr(x) if kind is C.LITERAL else chr(r.randint(*x)) if kind is C.RANGE else {C.CATEGORY_DIGIT: "7", C.CATEGORY_SPACE: " ", C.CATEGORY_WORD: "k", C.CATEGORY_NOT_WORD: "-"}.get(x, "q")
+        elif op is C.BRANCH:
+            out += sample(r, r.choice(v[1]))
+        elif op is C.SUBPATTERN:
+            out += sample(r, v[3])
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            out += "".join(sample(r, v[2]) for _ in range(r.randint(v[0], min(v[1], v[0] + 4))))
+    return out
+
+
+def test_every_match_passes_the_filter():
+    r, matched = random.Random(6), 0
+    for p in (*STATUS, *SCRIPTS, *FILLER):
+        tree = _parser.parse(p)
+        own = 0
+        for _ in range(3000):
+            line = sample(r, tree).strip()
+            if _LINE.search(line):
+                own += 1
+                assert _may_match(line), (p, line)
+        assert own > 300, (p, own)
+    for line in ("405 Method Not Allowed", "413 Request Entity Too Large", "521 Service is down", "525 - Gateway problem", "400 - Bad input", "######", "······", "* * * *", "x x x x x", "acce\u017fs denied", "Internal \u017ferver Error", "ACCESS DEN\u0130ED"):
+        assert _LINE.search(line) and _is_residue(line), line
+    assert weak(dense("413 Request Entity Too Large\n\nproxy/1.2", None)) == 1
