@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from terrane.llm.fingerprints import gram_hashes, joined
 from terrane.runtime import spread
 
+#: Longer lines are judged sentence by sentence.
+LONG = 400
 GRAM, BITS, SAMPLE, STEPS, PENALTY = 5, 17, 8_000, 60, 1e-4
 _CHARS = 2_000_000
 
@@ -71,7 +73,7 @@ FILLER = (
 )
 #: A line that can match one of the above holds one of these, a number of the 4xx or 5xx kind, or is filler of one character.
 STEMS = (
-    "error|exception|bad gateway|unavailable|too many|time-out|timeout|"
+    "error|exception|bad gateway|forbidden|unavailable|too many|time-out|timeout|"
     "denied|refusé|verweigert|not authorized|permission to|没有权限|无权|page is|page not|page you|not found|does not exist|seite wurde|page est|页面|网页|"
     "something went|upstream|connection|scheduled maint|be back|wartungs|en maintenance|维护中|系统内部|联系管理员|请求超时|服务器|登录|expired|abgelaufen|traceback|file \"|raise |"
     "script|脚本|checking your|占位|待补充|示例文本|填充文字|测试文字|goes here|lorem ipsum|replace this|sample |blindtext|faux|click to|add your|loading"
@@ -86,7 +88,11 @@ _PLACE = re.compile("|".join(PLACEHOLDERS))
 _HINT = re.compile(r"[{$#%<@\[_【（(]")
 _LINE = re.compile("|".join((*STATUS, *SCRIPTS, *FILLER)), re.I)
 _NUMBER = re.compile(r"[45]\d\d")
+_NUMBERED = re.compile("|".join(STATUS[:2]), re.I)
 _ONE = re.compile(FILLER[0])
+# of a long line: markup and the ends of its sentences
+_MARKUP = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<(?!noscript)[/!a-z][^<>]*>", re.I)
+_ENDS = re.compile(r"\n|(?<=[.!?])\s+|(?<=[。！？；])")
 _FILL = re.compile(FILLER_WORDS, re.I)
 _FURN = re.compile(FURNITURE, re.I)
 _TALK = re.compile(TALK, re.I)
@@ -118,37 +124,69 @@ def placeholders(text: str) -> int:
     return len(_PLACE.findall(outside_code(text)))
 
 
-def _may_match(line: str) -> bool:
-    """False only for lines that _LINE can't match."""
+def _may_match(line: str) -> re.Pattern | None:
+    """The pattern that decides, None only for lines that _LINE can't match."""
     low = line.lower()
     if not low.isascii():  # letters that match s and i when case is ignored, but have another lower case
         low = low.replace("\u017f", "s").replace("\u0131", "i").replace("i\u0307", "i")
-    return next(_stems().iter(low), None) is not None or _NUMBER.search(line) is not None or _ONE.search(line) is not None
+    if next(_stems().iter(low), None) or _ONE.search(line):
+        return _LINE
+    return _NUMBERED if _NUMBER.search(line) else None  # without a stem only phrases with a number are left
+
+
+@lru_cache(1 << 14)
+def _fills(word: str) -> bool:
+    return bool(_FILL.match(word))
+
+
+def _filler(text: str) -> bool:
+    words = _WORDS.findall(text)
+    return len(words) >= 4 and sum(map(_fills, words)) >= 0.7 * len(words)
 
 
 def _is_residue(line: str) -> bool:
-    if len(line) <= 400 and _may_match(line) and _LINE.search(line) and not (_TALK.search(line) and not line.lower().startswith("we are down")):
-        return True
-    words = _WORDS.findall(line[:120])
-    if len(words) < 4 or sum(bool(_FILL.match(w)) for w in words) < 0.6 * len(words):
-        return False
-    words = _WORDS.findall(line)
-    return sum(bool(_FILL.match(w)) for w in words) >= 0.7 * len(words)
+    pattern = _may_match(line)
+    return bool(pattern and pattern.search(line) and not (_TALK.search(line) and not line.lower().startswith("we are down"))) or _filler(line)
+
+
+def _around(text: str) -> int:
+    """Characters within half of LONG of a phrase, for a sentence longer than LONG."""
+    pattern, bad, last = _may_match(text), 0, 0
+    for m in pattern.finditer(text) if pattern else ():
+        a, b = max(0, m.start() - LONG // 2), min(len(text), m.end() + LONG // 2)
+        if not _TALK.search(text[a:b]):
+            bad, last = bad + max(0, b - max(a, last)), max(b, last)
+    return bad
+
+
+def _judged(line: str) -> tuple[int, int]:
+    """(characters, characters that are residue) of a line; the markup of a long line does not count."""
+    if len(line) <= LONG:
+        return len(line), len(line) * _is_residue(line)
+    if _filler(line):
+        return len(line), len(line)
+    total = bad = 0
+    for part in _ENDS.split(_MARKUP.sub("\n", line) if "<" in line else line):
+        part = part.strip()
+        total += len(part)
+        bad += len(part) * _is_residue(part) if len(part) <= LONG else len(part) if _filler(part) else _around(part)
+    return total, bad
 
 
 def residue_share(text: str) -> tuple[float, int]:
-    """Share of the body's characters in residue lines, and the number of such lines. Titles and page furniture are no body."""
+    """Share of the body's characters in residue lines or sentences, and the number of lines that are mostly residue. Titles and page furniture are no body."""
     total = bad = n = 0
-    seen: dict[str, bool] = {}
+    seen: dict[str, tuple[int, int]] = {}
     lines = [x for x in (raw.strip() for raw in text.splitlines()) if x]
     for line in lines:
         if line not in seen:
-            seen[line] = _is_residue(line)
-        if not seen[line] and len(lines) > 1 and len(line) <= 120 and _FURN.match(line):
+            seen[line] = _judged(line)
+        size, residual = seen[line]
+        if not residual and len(lines) > 1 and len(line) <= 120 and _FURN.match(line):
             continue
-        total += len(line)
-        bad += len(line) * seen[line]
-        n += seen[line]
+        total += size
+        bad += residual
+        n += residual > 0 and 2 * residual >= size
     return (bad / total if total else 0.0), n
 
 

@@ -74,8 +74,22 @@ def test_every_match_passes_the_filter():
             line = sample(r, tree).strip()
             if _LINE.search(line):
                 own += 1
-                assert _may_match(line), (p, line)
+                assert _may_match(line) and _may_match(line).search(line), (p, line)
         assert own > 300, (p, own)
     for line in ("405 Method Not Allowed", "413 Request Entity Too Large", "521 Service is down", "525 - Gateway problem", "400 - Bad input", "######", "······", "* * * *", "x x x x x", "acce\u017fs denied", "Internal \u017ferver Error", "ACCESS DEN\u0130ED"):
         assert _LINE.search(line) and _is_residue(line), line
     assert weak(dense("413 Request Entity Too Large\n\nproxy/1.2", None)) == 1
+
+
+def test_long_lines_are_read_whole():
+    lab = lambda t: weak(dense(t, None))
+    error = "<html><head><style>" + "p{margin:0} " * 60 + "</style></head><body><h1>503 Service Unavailable</h1><p>Something went wrong on our side.</p><p>" + "Scheduled maintenance is running, we will be back shortly. " * 8 + "</p></body></html>"
+    script = "<div class='a'>" + "</div><div>" * 40 + "<noscript>You need to enable JavaScript to run this app. Please turn on JavaScript and reload.</noscript></div>"
+    heading = "Annual overview of the council and the people who keep its ledger through every season of the year, with news and contact "
+    real = "The writer waits while the table keeps its rows, and the keeper counts the chests in the night. "
+    assert min(map(len, (error, script))) > 400
+    assert lab(error) == 1 and lab(script) == 1
+    assert lab(heading + "lorem dolor amet elit tempor incididunt labore magna aliqua veniam " * 40) == 1
+    assert lab("wait, " * 400 + "error 500") == 0
+    assert lab(real * 20 + "The server said error 500. " + real * 20) == 0
+    assert lab(real * 40) == 0
