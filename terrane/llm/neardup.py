@@ -40,11 +40,13 @@ from terrane.operators.components import connected_components
 from terrane.runtime import materialize, spread
 
 GRAM, SIMILARITY, SHORTEST = 5, 0.65, 100
-WIDTH, TABLES = 8, 28
+WIDTH, TABLES = 8, 26
 #: Symbols of what a record holds beyond a pivot; symbols of a sketch that must agree (0.47 estimated, 4 deviations below 0.65).
 BEYOND, SKETCH, AGREE = 16, 128, 64
 #: Pivots of a variant by its records: PIVOTS where all pairs are as many, fewer beyond, at least one.
 PIVOTS, SPENT = 3, 24
+#: Bits (as a power of two) of the bitmap of ids whose texts are wanted: 2 MB.
+FILTER = 24
 #: Records of a batch that share a variant from which only pivots are sent on.
 HOT = 64
 #: Entries of a packed block; characters and texts hashed at once.
@@ -74,17 +76,6 @@ def contents(sources: list[tuple[DataFrame, str, str]]) -> DataFrame:
     return out
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        uid, rows = b.column(0).to_pylist(), []
-        for u, t in zip(uid, b.column(1).to_pylist()):
-            if len(t := normal(t)) >= SHORTEST:
-                d = xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass"))
-                rows.append((u, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)))
-        cols = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["uid", "d1", "d2"])
-
-
 def _chunks(texts: list[str]) -> Iterator[slice]:
     start = size = 0
     for i, t in enumerate(texts):
@@ -97,21 +88,22 @@ def _chunks(texts: list[str]) -> Iterator[slice]:
 
 
 def _pack(key: np.ndarray, size: np.ndarray, uid: np.ndarray) -> bytes:
-    """Low 32 bits of ascending keys as differences, sizes and ids, byte plane by byte plane for the shuffle's codec."""
+    """Low 32 bits of ascending keys as differences, sizes and ids, byte plane by byte plane, compressed."""
     k = np.diff(key & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
     u = uid.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return np.concatenate([k, size.astype(np.uint8)[None], u]).tobytes()
+    raw = np.concatenate([k, size.astype(np.uint8)[None], u]).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = np.frombuffer(data, np.uint8).reshape(13, -1)
+    planes = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8).reshape(13, -1)
     key = np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), dtype=np.uint64)
     return key, planes[4], np.ascontiguousarray(planes[5:].T).view("<i8").ravel()
 
 
 def _sizes(texts: list[str]) -> np.ndarray:
-    """Length in steps of a twelfth, a byte."""
-    return np.array([min(255, int(8 * math.log2(max(1, len(t))))) for t in texts], np.uint8)
+    """Length in steps of a fifth, a byte."""
+    return np.array([min(255, int(4 * math.log2(max(1, len(t))))) for t in texts], np.uint8)
 
 
 def _runs(key: np.ndarray, size: np.ndarray, uid: np.ndarray):
@@ -244,29 +236,59 @@ def met_pairs(packed: DataFrame, parts: int) -> DataFrame:
     return met.where("key is null").select("a", "b").unionByName(hot).distinct()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_WORDS = [f"s{i}" for i in range(SKETCH // 16)]
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest and sketch of every content that is long enough."""
     for b in batches:
         texts = [normal(t) for t in b.column(1).to_pylist()]
+        ok = np.array([len(t) >= SHORTEST for t in texts], bool)
+        texts = [t for t in texts if len(t) >= SHORTEST]
+        d = [xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
         parts = [min_symbols(texts[s], GRAM, SKETCH)[0] >> np.uint64(60) for s in _chunks(texts)]
         words = np.concatenate([*parts, np.zeros((0, SKETCH), np.uint64)]).reshape(-1, SKETCH // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
         words = np.bitwise_or.reduce(words, axis=2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, i]) for i in range(words.shape[1]))], ["uid", *(f"s{i}" for i in range(words.shape[1]))])
+        halves = {"d1": [(x >> 64) - (1 << 63) for x in d], "d2": [(x & ((1 << 64) - 1)) - (1 << 63) for x in d]}
+        yield _rows({"uid": (b.column(0).to_numpy(zero_copy_only=False)[ok], pa.int64()), **{k: (v, pa.int64()) for k, v in halves.items()}, **{k: (words[:, i], pa.int64()) for i, k in enumerate(_WORDS)}})
 
 
 def _agree() -> str:
     """SQL: the number of four-bit symbols in which the sketches p and q agree."""
-    x = [f"(p.s{i} ^ q.s{i})" for i in range(SKETCH // 16)]
+    x = [f"(p.{k} ^ q.{k})" for k in _WORDS]
     return " + ".join(f"(16 - bit_count(({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3)) & 1229782938247303441L))" for v in x)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+def _bits(uid: np.ndarray) -> np.ndarray:
+    return (mix(uid.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - FILTER)).astype(np.int64)
+
+
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        bit = np.unique(_bits(b.column(0).to_numpy(zero_copy_only=False)))
+        yield _rows({"word": (bit >> 6, pa.int64()), "bits": (np.int64(1) << (bit & 63), pa.int64())})
+
+
+def _filtered(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for b in batches:
+            bit = _bits(b.column(0).to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array((words[bit >> 6] >> (bit & 63)) & 1 == 1))
+
+    return run
 
 
-def sketches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The sketches of all ends of the pairs."""
-    columns = "uid bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH // 16))
-    return texts.join(_ends(pairs), "uid", "left_semi").mapInArrow(_sketch, columns).dropDuplicates(["uid"])
+def needed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(uid, content) of all ends of the pairs, once each. A bitmap of fixed size (2 ** FILTER bits) keeps most other texts
+    out of the shuffle while the ends are few; it never loses one."""
+    spark = pairs.sparkSession
+    ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid")))
+    words = np.zeros(1 << (FILTER - 6), np.int64)
+    for w, bits in ends.mapInArrow(_filter_words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits")).collect():
+        words[w] = bits
+    slim = texts.select("uid", "content").mapInArrow(_filtered(spark.sparkContext.broadcast(words)), "uid bigint, content string")
+    return slim.join(ends.distinct(), "uid", "left_semi").dropDuplicates(["uid"])
 
 
 def alike(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -308,11 +330,6 @@ def _verify(least: float, beyond: bool):
     return run
 
 
-def needed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(uid, content) of all ends of the pairs, once each."""
-    return texts.join(_ends(pairs), "uid", "left_semi").dropDuplicates(["uid"])
-
-
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, beyond: bool = False) -> DataFrame:
     """(a, b, similarity, size, rest) of every candidate pair, by the exact measure; size and rest describe what b holds
     beyond a where the pair is no link."""
@@ -327,11 +344,10 @@ def _shape(df: DataFrame, entries: int) -> tuple[int, int]:
     return blocks, max(df.sparkSession.sparkContext.defaultParallelism * 2, blocks // 8)
 
 
-def links_of(reps: DataFrame, n: int, sources: int, least: float) -> DataFrame:
+def links_of(reps: DataFrame, sketched: DataFrame, n: int, sources: int, least: float) -> DataFrame:
     """(a, b, similarity): the links met among n different contents (uid, content)."""
     blocks, parts = _shape(reps, n * TABLES * (WIDTH + 1))
     star = materialize(met_pairs(reps.mapInArrow(_emit(blocks, sources), _PACKED), parts), "pairs")
-    sketched = materialize(sketches(star, reps), "sketches")
     pairs = materialize(alike(star, sketched), "pairs")
     texts = materialize(needed(pairs, reps), "texts")
     first = materialize(verified(pairs, texts, least, True), "tested")
@@ -349,14 +365,15 @@ def _found(sources: list[tuple[DataFrame, str, str]], least: float) -> tuple[Dat
     """(groups, links met so far, copies with their representative, contents)."""
     k = len(sources)
     docs = spread(contents(sources), "uid")
-    digests = materialize(docs.mapInArrow(_digests, "uid bigint, d1 bigint, d2 bigint").distinct(), "digests")
+    schema = ", ".join(f"{c} bigint" for c in ("uid", "d1", "d2", *_WORDS))
+    digests = materialize(docs.mapInArrow(_digests, schema).dropDuplicates(["uid"]), "digests")
     n = digests.count()
     same = ["d1", "d2", F.pmod(F.col("uid"), F.lit(k)).alias("src")]
     firsts = digests.groupBy(*same).agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = materialize(digests.withColumn("src", F.pmod(F.col("uid"), F.lit(k))).join(firsts.drop("n"), ["d1", "d2", "src"]).where("uid <> rep").select("uid", "rep"), "copies")
+    copies = materialize(digests.drop(*_WORDS).withColumn("src", F.pmod(F.col("uid"), F.lit(k))).join(firsts.drop("n"), ["d1", "d2", "src"]).where("uid <> rep").select("uid", "rep"), "copies")
     # a record delivered twice stays twice here and meets itself, which makes no pair
     reps = docs.join(copies.select("uid"), "uid", "left_anti")
-    close = materialize(links_of(reps, n, k, least), "links")
+    close = materialize(links_of(reps, digests.select("uid", *_WORDS), n, k, least), "links")
     edges = close.select("a", "b").unionByName(copies.select(F.col("uid").alias("a"), F.col("rep").alias("b")))
     groups = connected_components(edges).select(F.col("id").alias("uid"), F.col("component").alias("group_id"))
     return groups, close, copies, docs
