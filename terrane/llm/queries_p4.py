@@ -13,11 +13,11 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return main_defect(defects(_pairs(spark, d)))
+    return main_defect(p4_labels(spark, d))
 
 
 def p4_labels(spark: SparkSession, d: str) -> DataFrame:
-    return defects(_pairs(spark, d))
+    return defects(_pairs(spark, d), table(spark, d, "documents"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_labels": p4_labels}
