@@ -1,10 +1,17 @@
-"""Template residue and error-page text: a regularised linear classifier trained on weak labels.
+"""Template residue and error-page text: regularised linear classifiers trained on weak labels.
 
-Weak labels come from response-status, notice, filler and placeholder phrases: a document is weakly positive if an
-unfilled placeholder stands outside code or if most of its body lines are residue, weakly negative if few are, and
-unlabelled in between. A logistic regression over hashed character n-grams, length, title and line features is fitted on
-a bounded sample (SAMPLE documents, by hash of the id) and scores every document. Documents of every fifth host (the
-source) are kept out of the fit; the threshold is the one that does best on them.
+Weak labels come from response-status, notice, filler and placeholder phrases, on a bounded sample (SAMPLE documents, by
+hash of the id). Two logistic regressions learn from them, and neither sees what the phrases said:
+
+* pages: a document is weakly positive if most of its body is residue, negative if little is, and unlabelled in between.
+  Features are hashed character n-grams of the text (their shares), of its first line and of its name, its length, the
+  share of markup characters and how much of the text repeats.
+* spans: bracketed or otherwise delimited spans outside code, positive if they are unfilled placeholders. Features are
+  hashed n-grams of the span and of its shape. A document has the score of its best span.
+
+A document is residue if either score passes its threshold. Hosts (the source) are split three ways: three in five are
+fitted on, every fourth chooses the thresholds, every fifth only reports. Scoring reads every text whole and runs no
+phrase of the weak labels.
 
 Defined results: null and empty texts are not residue; a null source is a host of its own; very long texts are scored
 whole; copies are scored each; documents without an id are left out; on an empty table, or where the sample holds one
@@ -28,7 +35,8 @@ from terrane.runtime import spread
 
 #: Longer lines are judged sentence by sentence.
 LONG = 400
-GRAM, BITS, SAMPLE, STEPS, PENALTY = 5, 17, 8_000, 60, 1e-4
+GRAM, BITS, SAMPLE, STEPS, PENALTY = 5, 17, 8_000, 80, 1e-4
+SPAN_BITS = 15
 _CHARS = 2_000_000
 
 # Placeholder syntaxes, and phrases of status pages, script notices and filler.
@@ -99,6 +107,11 @@ _TALK = re.compile(TALK, re.I)
 _CODE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _INLINE = re.compile(r"(`+)(?!`)[^\n]*?[^`]\1(?!`)|`[^`\n]`")
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Delimited spans of a line, whatever they hold.
+_SPAN = re.compile(r"[$#]?\{{1,2}[^{}\n]{1,60}\}{1,2}|<{1,2}[^<>\n]{1,60}>{1,2}|\[{1,2}[^\[\]\n]{1,60}\]{1,2}|%[^%\s]{1,40}%|@@[^@\n]{1,40}@@|__[^\s]{1,40}?__|【[^】\n]{1,40}】|（[^）\n]{1,40}）|\([^()\n]{1,60}\)")
+_UPPER, _LOWER = re.compile(r"[A-Z]+"), re.compile(r"[^\W\d_A-Z]+")
+_MARKS = np.zeros(128, bool)
+_MARKS[[ord(c) for c in "<>{}[]|#*=/\\;$%@_"]] = True
 DENSE = ("placeholder", "placeholders", "residue", "mainly", "lines", "length", "short", "titled", "markup")
 
 
@@ -146,7 +159,7 @@ def _filler(text: str) -> bool:
 
 def _is_residue(line: str) -> bool:
     pattern = _may_match(line)
-    return bool(pattern and pattern.search(line) and not (_TALK.search(line) and not line.lower().startswith("we are down"))) or _filler(line)
+    return bool(pattern and pattern.search(line) and not _TALK.search(line)) or _filler(line)
 
 
 def _around(text: str) -> int:
@@ -215,95 +228,191 @@ def _parts(ids, texts, titles):
         yield ids[start:], texts[start:], titles[start:]
 
 
-def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def hashed(texts: list[str], n: int = GRAM, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every character n-gram; digits count as one."""
     c, at = joined([t.lower() for t in texts])
     c = np.where((c >= 48) & (c <= 57), 48, c)
-    h = gram_hashes(c, GRAM)
-    size = np.maximum(np.diff(at) - GRAM + 1, 0)
+    h = gram_hashes(c, n)
+    size = np.maximum(np.diff(at) - n + 1, 0)
     doc = np.repeat(np.arange(len(texts)), size)
     pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[:-1], size)
-    return doc, (h[pos] >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-class Classifier:
-    """Logistic regression; n-gram features are shares of the text's n-grams, so they tell what it mainly consists of."""
-
-    SCALE = 30.0
-
-    def __init__(self):
-        self.grams = np.zeros(1 << BITS)
-        self.dense = np.zeros(len(DENSE) + 1)
-        self.threshold = 0.5
-
-    def linear(self, doc, bucket, x: np.ndarray) -> np.ndarray:
-        n = len(x)
-        counts = np.maximum(np.bincount(doc, minlength=n), 1)
-        return self.SCALE * np.bincount(doc, self.grams[bucket], minlength=n) / counts + np.c_[x, np.ones(n)] @ self.dense
-
-    def fit(self, texts: list[str], x: np.ndarray, y: np.ndarray) -> Classifier:
-        docs, buckets, shares = [], [], []
-        for s in range(0, len(texts), 200):  # bounds the n-grams held at once
-            doc, bucket = hashed(texts[s : s + 200])
-            cell, times = np.unique(doc * (1 << BITS) + bucket, return_counts=True)
-            d = cell >> BITS
-            docs.append((d + s).astype(np.int32))
-            buckets.append((cell & ((1 << BITS) - 1)).astype(np.int32))
-            shares.append((self.SCALE * times / np.maximum(np.bincount(d, times), 1)[d]).astype(np.float32))
-        doc, bucket, share = np.concatenate(docs), np.concatenate(buckets), np.concatenate(shares)
-        full = np.c_[x, np.ones(len(x))]
+    return doc, (h[pos] >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _shares(doc: np.ndarray, bucket: np.ndarray, n: int, bits: int, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, value): each bucket's share of the text's n-grams, scaled."""
+    cell, times = np.unique(doc << bits | bucket, return_counts=True)
+    d = cell >> bits
+    return d, cell & ((1 << bits) - 1), (scale * times / np.maximum(np.bincount(d, times, minlength=n), 1)[d]).astype(np.float32)
+
+
+def page_features(texts: list[str], titles: list[str | None]):
+    """(row, bucket, value, dense): n-grams of the text, of its first line and of its name, and the plain features."""
+    n = len(texts)
+    heads = [t.lstrip().split("\n", 1)[0] for t in texts]
+    parts, repeats = [], np.zeros(n)
+    for k, (many, scale) in enumerate(((texts, 30.0), (heads, 6.0), ([t or "" for t in titles], 3.0))):
+        row, bucket, value = _shares(*hashed(many, GRAM if k < 2 else 3), n, BITS, scale)
+        if not k:
+            repeats = 1 - np.bincount(row, minlength=n) / np.maximum([len(t) for t in texts], 1)
+        parts.append((row, bucket ^ (k * 0x9E37), value))
+    c, at = joined(texts)
+    marks = np.append(0, np.cumsum(_MARKS[np.minimum(c, 127)] & (c < 128)))
+    size = np.maximum(np.diff(at), 1)
+    dense_part = np.c_[np.log1p(size) / 10, size < 300, (marks[at[1:]] - marks[at[:-1]]) / size, repeats, [t.lstrip().startswith("<") for t in texts], [len(h) / 200 if len(h) < 200 else 1.0 for h in heads], np.ones(n)]
+    return *(np.concatenate(x) for x in zip(*parts)), dense_part
+
+
+def spans(texts: list[str]) -> tuple[list[int], list[str]]:
+    """(text, span) of every delimited span outside code."""
+    doc, out = [], []
+    for i, t in enumerate(texts):
+        if _HINT.search(t):
+            found = set(_SPAN.findall(outside_code(t)))
+            doc += [i] * len(found)
+            out += found
+    return doc, out
+
+
+def span_features(found: list[str]):
+    """(row, bucket, value, dense): n-grams of one to four characters of the span and of its shape."""
+    n, cells = len(found), []
+    shapes = [_LOWER.sub("a", _UPPER.sub("A", t)) for t in found]
+    for k, many in enumerate((found, shapes)):
+        for g in (1, 2, 3, 4):
+            c, at = joined([f"\x02{t}\x03" for t in many])
+            c = np.where((c >= 48) & (c <= 57), 48, c)
+            h, size = gram_hashes(c, g), np.maximum(np.diff(at) - g + 1, 0)
+            row = np.repeat(np.arange(n), size)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[:-1], size)
+            cells.append(row << SPAN_BITS | ((h[pos] >> np.uint64(64 - SPAN_BITS)).astype(np.int64) ^ (0x1F35 * (4 * k + g))) & ((1 << SPAN_BITS) - 1))
+    cell = np.unique(np.concatenate(cells)) if cells else np.zeros(0, np.int64)
+    row = cell >> SPAN_BITS
+    value = 4 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
+    return row, cell & ((1 << SPAN_BITS) - 1), value[row].astype(np.float32), np.ones((n, 1))
+
+
+class Linear:
+    """Logistic regression with hashed and dense features, classes weighted alike."""
+
+    def __init__(self, bits: int):
+        self.bits, self.threshold = bits, 0.5
+        self.hashed, self.dense = np.zeros(1 << bits), np.zeros(0)
+
+    def _linear(self, row, bucket, value, full) -> np.ndarray:
+        return np.bincount(row, self.hashed[bucket] * value, minlength=len(full)) + full @ self.dense
+
+    def fit(self, row, bucket, value, full, y: np.ndarray) -> Linear:
+        self.dense = np.zeros(full.shape[1])
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-        sg, sd = np.full(1 << BITS, 1e-12), np.full(full.shape[1], 1e-12)
+        sg, sd = np.full(1 << self.bits, 1e-12), np.full(full.shape[1], 1e-12)
         for _ in range(STEPS):
-            z = np.bincount(doc, self.grams[bucket] * share, minlength=len(y)) + full @ self.dense
-            err = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-            g = np.bincount(bucket, err[doc] * share, minlength=1 << BITS) + PENALTY * self.grams
+            err = weight * (1 / (1 + np.exp(-np.clip(self._linear(row, bucket, value, full), -50, 50))) - y)
+            g = np.bincount(bucket, err[row] * value, minlength=1 << self.bits) + PENALTY * self.hashed
             d = full.T @ err + PENALTY * 0.1 * self.dense
             sg, sd = sg + g * g, sd + d * d
-            self.grams -= 0.15 * g / np.sqrt(sg)
+            self.hashed -= 0.15 * g / np.sqrt(sg)
             self.dense -= 0.6 * d / np.sqrt(sd)
+        self.hashed = self.hashed.astype(np.float32)
         return self
 
-    def scores(self, texts: list[str], x: np.ndarray) -> np.ndarray:
-        doc, bucket = hashed(texts)
-        return 1 / (1 + np.exp(-np.clip(self.linear(doc, bucket, x), -50, 50)))
-
-
-def train(rows: list[tuple[str, str | None, str | None]]) -> tuple[Classifier | None, dict]:
-    """Fit on (text, title, host) rows with weak labels; returns the classifier and its figures on unseen hosts."""
-    feats = np.array([dense(t, n) for t, n, _ in rows]).reshape(-1, len(DENSE))
-    labels = [weak(x) for x in feats.tolist()]
-    hosts = [(h or "").strip().lower() for _, _, h in rows]
-    names = sorted(set(hosts))
-    held = {h for i, h in enumerate(names) if i % 5 == 4}
-    fit = [i for i, y in enumerate(labels) if y is not None and hosts[i] not in held]
-    test = [i for i, y in enumerate(labels) if y is not None and hosts[i] in held]
-    if len({labels[i] for i in fit}) < 2:
-        return None, {"fitted": len(fit)}
-    model = Classifier().fit([rows[i][0] for i in fit], feats[fit], np.array([labels[i] for i in fit]))
-    figures = {"fitted": len(fit), "tested": len(test)}
-    if len({labels[i] for i in test}) == 2:
-        p = np.concatenate([model.scores([rows[i][0] for i in test[s : s + 200]], feats[test[s : s + 200]]) for s in range(0, len(test), 200)])
-        y = np.array([labels[i] for i in test])
-        f1 = lambda c: 2 * ((p > c) & (y == 1)).sum() / max(1, (p > c).sum() + y.sum())
-        model.threshold = max((c / 20 for c in range(2, 19)), key=lambda c: (round(float(f1(c)), 6), -abs(c - 0.5)))
-        figures |= {"f1": round(float(f1(model.threshold)), 4), "threshold": model.threshold}
+    def scores(self, row, bucket, value, full) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self._linear(row, bucket, value, full), -50, 50)))
+
+    def settle(self, p: np.ndarray, y: np.ndarray) -> None:
+        """The threshold of the best F1; the middle of the best ones."""
+        if y.any() and not y.all():
+            f = [(round(f1(p > c / 40, y), 6), c / 40) for c in range(2, 39)]
+            best = [c for x, c in f if x == max(f)[0]]
+            self.threshold = best[len(best) // 2]
+
+
+def f1(said: np.ndarray, y: np.ndarray) -> float:
+    return float(2 * (said & (y == 1)).sum() / max(1, said.sum() + y.sum()))
+
+
+class Model:
+    """Both classifiers; a missing one leaves its part to the weak rule."""
+
+    def __init__(self, pages: Linear | None, holes: Linear | None):
+        self.pages, self.holes = pages, holes
+
+    def scores(self, texts: list[str], titles: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(page score, placeholder score) of every text, scaled so that a half is the threshold."""
+        n = len(texts)
+        page = np.array([float(residue_share(t)[0] >= 0.5) for t in texts]) if self.pages is None else self._scaled(self.pages, page_features(texts, titles))
+        best = np.zeros(n)
+        if self.holes is None:
+            return page, np.array([float(placeholders(t) > 0) for t in texts])
+        doc, found = spans(texts)
+        if found:
+            np.maximum.at(best, doc, self._scaled(self.holes, span_features(found)))
+        return page, best
+
+    @staticmethod
+    def _scaled(model: Linear, features) -> np.ndarray:
+        p, t = model.scores(*features), model.threshold
+        return np.where(p > t, 0.5 + 0.5 * (p - t) / (1 - t), 0.5 * p / t)
+
+
+def _joined_features(parts):
+    """Feature parts of successive texts as one."""
+    rows, at, cols = [], 0, []
+    for row, bucket, value, full in parts:
+        rows.append((row + at, bucket, value))
+        cols.append(full)
+        at += len(full)
+    return *(np.concatenate(x) for x in zip(*rows)), np.concatenate(cols)
+
+
+def train(rows: list[tuple[str, str | None, str | None]]) -> tuple[Model | None, dict]:
+    """Fit on (text, title, host) rows with weak labels; returns the model and its figures on the hosts that only report:
+    f1 of whole documents, f1_pages and f1_spans."""
+    texts, titles = [r[0] for r in rows], [r[1] for r in rows]
+    hosts = [(r[2] or "").strip().lower() for r in rows]
+    names = {h: i % 5 for i, h in enumerate(sorted(set(hosts)))}
+    role = np.array([names[h] for h in hosts], np.int64)
+    share = np.array([residue_share(t)[0] for t in texts])
+    page = np.where(share >= 0.5, 1, np.where(share < 0.3, 0, -1))
+    hole = np.array([placeholders(t) > 0 for t in texts], bool)
+    doc, found = spans(texts)
+    span_role, span_y = role[np.array(doc, np.int64)], np.array([bool(_PLACE.search(t)) for t in found], np.int64)
+
+    def learn(bits, features, role, y, blocks) -> tuple[Linear | None, float | None]:
+        part = lambda keep: _joined_features([features(b) for b in blocks(np.flatnonzero(keep))])
+        fit = (role < 3) & (y >= 0)
+        if len(set(y[fit].tolist())) < 2:
+            return None, None
+        model = Linear(bits).fit(*part(fit), y[fit])
+        choose, report = (role == 3) & (y >= 0), (role == 4) & (y >= 0)
+        if choose.any():
+            model.settle(model.scores(*part(choose)), y[choose])
+        return model, f1(model.scores(*part(report)) > model.threshold, y[report]) if y[report].any() else None
+
+    blocks = lambda size: lambda at: [at[s : s + size] for s in range(0, len(at), size)]  # noqa: E731 bounds the n-grams held at once
+    pages, page_f1 = learn(BITS, lambda at: page_features([texts[i] for i in at], [titles[i] for i in at]), role, page, blocks(200))
+    holes, span_f1 = learn(SPAN_BITS, lambda at: span_features([found[i] for i in at]), span_role, span_y, blocks(20_000))
+    figures = {"fitted": int((role < 3).sum()), "tested": int((role == 4).sum())}
+    if pages is None and holes is None:
+        return None, figures
+    model = Model(pages, holes)
+    at = np.flatnonzero((role == 4) & (page >= 0))
+    if len(at):
+        parts = [model.scores([texts[i] for i in b], [titles[i] for i in b]) for b in blocks(200)(at)]
+        said = np.concatenate([np.maximum(*p) for p in parts]) > 0.5
+        figures |= {"f1": round(f1(said, ((page == 1) | hole)[at].astype(int)), 4), "f1_pages": page_f1, "f1_spans": span_f1}
     return model, figures
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.value or Model(None, None)
         for b in batches:
             for ids, texts, titles in _parts(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x = np.array([dense(t, n) for t, n in zip(texts, titles)])
-                if model is None:
-                    p = np.array([1.0 if weak(r) == 1 else 0.0 for r in x.tolist()])
-                    cut = 0.5
-                else:
-                    p, cut = model.scores(texts, x), model.threshold
-                kind = ["placeholder" if r[0] else "page" for r in x]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p, pa.float64()), pa.array(p > cut), pa.array(kind)], ["doc_id", "score", "residue", "kind"])
+                page, hole = model.scores(texts, titles)
+                p = np.maximum(page, hole)
+                kind = np.where(hole > 0.5, "placeholder", "page").tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p, pa.float64()), pa.array(p > 0.5), pa.array(kind)], ["doc_id", "score", "residue", "kind"])
 
     return run
 

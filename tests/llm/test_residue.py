@@ -93,3 +93,35 @@ def test_long_lines_are_read_whole():
     assert lab("wait, " * 400 + "error 500") == 0
     assert lab(real * 20 + "The server said error 500. " + real * 20) == 0
     assert lab(real * 40) == 0
+
+
+#: Pages and spans that no phrase of the weak labels matches.
+UNSEEN_PAGES = [
+    "Gone\n\nThe requested resource was removed from this host.",
+    "The requested URL /a/b was not located on this machine. Error in the request.",
+    "Your browser has script execution off. Switch scripts on and reload this page.",
+    "Cette page exige l'exécution de scripts. Veuillez les activer et recharger la page.",
+    "Zugang nicht möglich: Ihre Rechte reichen für diese Seite nicht aus. Bitte melden Sie sich an.",
+    "您要找的内容已经移走，请返回首页。",
+    "Request rejected by the gateway. Reason: upstream reset. Reference 99123.",
+    "amet dolor lorem ipsa veniam tetur elitas magnas incidu sitque consec adipi labore quisno.",
+]
+UNSEEN_SPANS = ["Dear {customer_name}, thank you.", "Hello {{first-name|upper}}, welcome.", "Contact: <OWNER_NAME>, room <ROOM>.", "价格：【请补全金额】元。", "Total: ((amount_due)) to pay.", "Dear %%name%%, hello."]
+REAL = [
+    "The error page of the portal was redesigned in spring; visitors now find a search field and a phone number there. " * 3,
+    "In Python, f-strings such as `{name}` are filled at run time (see section 3), and lists [a, b] keep their order. " * 3,
+    "Der Fehler 500 trat im Mai selten auf (3 Fälle), weil die Last gering war. Danach blieb der Dienst ruhig. " * 3,
+    "报告说明了错误码的含义，并列出了三个月内的统计（见表2）。服务一直稳定，没有新的问题。" * 3,
+]
+
+
+def test_phrases_outside_the_lists(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(trim(text)) > 0").select("text", "document_name", "source").limit(4000).collect()]
+    assert not any(weak(dense(t, None)) for t in UNSEEN_PAGES[:7] + UNSEEN_SPANS)
+    model, figures = train(rows)
+    assert min(figures["f1"], figures["f1_pages"], figures["f1_spans"]) >= 0.98
+    page, _ = model.scores(UNSEEN_PAGES, ["x.html"] * len(UNSEEN_PAGES))
+    _, hole = model.scores([REAL[0] + t for t in UNSEEN_SPANS], [None] * len(UNSEEN_SPANS))
+    real = [max(x) for x in zip(*model.scores(REAL, [None] * len(REAL)))]
+    print([round(float(x), 2) for x in (*page, *hole, *real)])
+    assert (page > 0.5).mean() >= 0.6 and (hole > 0.5).mean() >= 0.6 and max(real) <= 0.5
