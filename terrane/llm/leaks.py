@@ -1,16 +1,18 @@
 """Evaluation texts leaking into training text: latent semantic retrieval.
 
 Passages and documents are reduced to letters and digits in lower case and cut into windows of WINDOW characters, half
-overlapping. A window is a TF-IDF vector of character GRAM-grams, with document frequencies counted over all documents.
-A randomised SVD of the passages' windows gives a latent space: every partition multiplies its windows with a random
-matrix and back, the sum is orthogonalised. Each document window that holds enough of the passages' grams is projected
-and compared by cosine with all passage windows; document and item become candidates at a cosine of PARAPHRASE_COSINE, or
-where the hash of any run of RUN characters of the document is one of the item's, so no shared run depends on the cosine.
-Candidates are then checked exactly: a shared run of RUN characters is a leak; otherwise the longest common subsequence of
-the best windows and the presence of the answer together decide about a paraphrase.
-
-The passages are the small side: they are taken in blocks of ITEMS, and what is broadcast is bounded by a block. The
-documents are scanned once for the frequencies and once a block for the search, without a shuffle of their texts.
+overlapping. A window is a TF-IDF vector of the character GRAM-grams that occur in passages, hashed to 2 ** FEATURES
+features, with frequencies counted over all documents. A randomised SVD of the passages' windows gives a latent space:
+partitions add up A'(A omega) in slices, the sum is orthogonalised to Q, partitions add up (AQ)'(AQ), and its eigenvectors
+turn Q into singular vectors; those of singular values near zero are left out. Each document window that holds enough of
+the passages' grams is projected and compared by cosine with all passage windows; document and item become candidates at a
+cosine of PARAPHRASE_COSINE, or where the hash of any run of RUN characters of the document is one of the item's, so no
+shared run depends on the cosine. Candidates are then checked exactly: a shared run of RUN characters is a leak; otherwise
+the longest common subsequence of the best windows and the presence of the answer together decide about a paraphrase.
+
+The passages are the small side. What is broadcast is bounded by ITEMS of them, the latent space by 2 ** FEATURES times
+RANK whatever their number. The documents are scanned once for the frequencies of all items and once for the search of
+every ITEMS items, without a shuffle of their texts.
 
 Defined results: null and empty texts, and passages shorter than RUN, leak nothing; copies of a document are reported
 each; very long texts are read whole; documents or items without an id are left out; empty tables give no rows.
@@ -18,6 +20,7 @@ each; very long texts are read whole; documents or items without an id are left
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -30,9 +33,13 @@ from terrane.llm.fingerprints import _BASE, gram_hashes, joined, mix
 from terrane.runtime import spread
 
 GRAM, WINDOW, RUN = 5, 80, 40
-#: Dimensions of the latent space, least grams of a window that are known.
-RANK, KNOWN = 128, 20
-ITEMS = 2000
+#: Most dimensions of the latent space (it grows with the root of the windows), least grams of a window that are known.
+RANK, KNOWN = 256, 20
+#: Hashed features of a window, and counters of the frequencies, as powers of two.
+FEATURES, COUNTERS = 15, 20
+#: Singular values below this share of the greatest are left out; rows of a slice of the sum.
+FAINT, SLICE = 1e-3, 512
+ITEMS = 16_000
 #: A paraphrase: least cosine, and least share of the passage window in the common subsequence.
 PARAPHRASE_COSINE, PARAPHRASE_LCS = 0.6, 0.6
 _CHARS = 2_000_000
@@ -113,53 +120,121 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
         yield ids[start:], texts[start:]
 
 
+def _known_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for _, texts in _texts(b):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_grams(texts)[0] >> np.uint64(64 - COUNTERS)).astype(np.int64))], ["counter"])
+
+
 def _frequencies(shared):
+    """Documents that hold a gram of each of the passages' counters; -1 counts the documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
-        count, docs = np.zeros(len(vocab.hashes), np.int64), 0
+        wanted = shared.value
+        count, docs = np.zeros(1 << COUNTERS, np.int64), 0
         for b in batches:
             for _, texts in _texts(b):
                 h, doc, _, _, _ = _grams(texts)
-                at, n = vocab.find(h)
-                pair = np.unique(doc[at] * len(vocab.hashes) + n)
-                count += np.bincount(pair % max(1, len(vocab.hashes)), minlength=len(vocab.hashes))
+                counter = (h >> np.uint64(64 - COUNTERS)).astype(np.int64)
+                at = np.flatnonzero(wanted[counter])
+                count += np.bincount(np.unique(doc[at] << COUNTERS | counter[at]) & ((1 << COUNTERS) - 1), minlength=1 << COUNTERS)
                 docs += len(texts)
         at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(count[at], docs))], ["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(count[at], docs))], ["counter", "n"])
 
     return run
 
 
+class Space:
+    """The grams of the passages with their features and weights, and the basis of the latent space."""
+
+    def __init__(self, hashes: np.ndarray, idf: np.ndarray):
+        self.vocab = Vocabulary(hashes)
+        self.idf = idf[(self.vocab.hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)]
+        self.feature = (self.vocab.hashes >> np.uint64(64 - FEATURES)).astype(np.int64)
+        self.basis = np.zeros((1 << FEATURES, 1), np.float32)
+
+    def windows(self, texts: list[str], least: int):
+        """(text, window, gram, start of each window, unit weights of the grams) of the windows with enough known grams, and
+        what `reduced` gives."""
+        h, doc, pos, c, at_text = _grams(texts)
+        at, n = self.vocab.find(h)
+        d, w, f, start = _windows(doc[at], pos[at], n, least)
+        norm = np.sqrt(np.add.reduceat(self.idf[f] ** 2, start)) if len(start) else np.zeros(0, np.float32)
+        return d, w, f, start, self.idf[f] / np.repeat(norm, np.diff(np.append(start, len(f)))), (c, at_text)
+
+
+def _sum_up(parts: DataFrame, columns: int) -> dict[int, np.ndarray]:
+    """Sums of float matrices (slice, part) of equal slices, added in partitions before the shuffle and after it."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.float32) for x in table.column("part").to_pylist()], axis=0, dtype=np.float32)
+        return pa.table({"slice": table.column("slice").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+    return {k: np.frombuffer(v, np.float32).reshape(-1, columns) for k, v in parts.groupBy("slice").applyInArrow(add, "slice int, part binary").collect()}
+
+
 def _range(shared, rank: int):
-    """Sum over the partition's windows w of w (w . omega): a part of A'A omega."""
+    """A'(A omega) of the partition's windows, in slices of features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, idf = shared.value
-        omega = np.random.default_rng(7).standard_normal((len(idf), rank)).astype(np.float32)
+        space = shared.value
+        omega = np.random.default_rng(7).standard_normal((1 << FEATURES, rank)).astype(np.float32)
         total = np.zeros_like(omega)
         for b in batches:
             for _, texts in _texts(b):
-                h, doc, pos, _, _ = _grams(texts)
-                at, n = vocab.find(h)
-                d, _, f, start = _windows(doc[at], pos[at], n, 1)
-                if not len(start):
-                    continue
-                length = np.diff(np.append(start, len(f)))
-                norm = np.sqrt(np.add.reduceat(idf[f] ** 2, start))
-                v = idf[f] / np.repeat(norm, length)
-                y = np.add.reduceat(omega[f] * v[:, None], start)
-                np.add.at(total, f, np.repeat(y, length, axis=0) * v[:, None])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+                _, _, f, start, v, _ = space.windows(texts, 1)
+                if len(start):
+                    at = space.feature[f]
+                    y = np.add.reduceat(omega[at] * v[:, None], start)
+                    np.add.at(total, at, np.repeat(y, np.diff(np.append(start, len(f))), axis=0) * v[:, None])
+        for s in range(0, len(total), SLICE):
+            if total[s : s + SLICE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([total[s : s + SLICE].tobytes()], pa.binary())], ["slice", "part"])
 
     return run
 
 
-def _latent(f: np.ndarray, start: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    out = np.empty((len(start), basis.shape[1]), np.float32)
+def _square(shared):
+    """(AQ)'(AQ) of the partition's windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = shared.value
+        total = np.zeros((space.basis.shape[1],) * 2, np.float32)
+        for b in batches:
+            for _, texts in _texts(b):
+                _, _, f, start, v, _ = space.windows(texts, 1)
+                if len(start):
+                    y = np.add.reduceat(space.basis[space.feature[f]] * v[:, None], start)
+                    total += y.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "part"])
+
+    return run
+
+
+def decompose(items: DataFrame, space: Space, windows: int) -> np.ndarray:
+    """Sets the right singular vectors of the passages' windows as the basis; returns the singular values."""
+    sc = items.sparkSession.sparkContext
+    rank = max(1, min(RANK, 4 * math.ceil(math.sqrt(windows)), windows))
+    y = np.zeros((1 << FEATURES, rank), np.float32)
+    for s, part in _sum_up(items.select("item_id", "passage").mapInArrow(_range(sc.broadcast(space), rank), "slice int, part binary"), rank).items():
+        y[s : s + len(part)] = part
+    space.basis = np.linalg.qr(y)[0].astype(np.float32)
+    square = _sum_up(items.select("item_id", "passage").mapInArrow(_square(sc.broadcast(space)), "slice int, part binary"), rank)[0]
+    values, vectors = np.linalg.eigh(square.astype(np.float64))
+    singular = np.sqrt(np.maximum(values, 0))
+    keep = np.flatnonzero(singular >= FAINT * max(singular.max(), 1e-12))[::-1]
+    space.basis = (space.basis @ vectors[:, keep]).astype(np.float32)
+    return singular[keep]
+
+
+def _latent(space: Space, f: np.ndarray, start: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Unit vectors of the windows in the latent space."""
+    out = np.empty((len(start), space.basis.shape[1]), np.float32)
     stop = np.append(start[1:], len(f))
     for s in range(0, len(start), 2000):  # bounds the gathered rows
         a, b = start[s], stop[min(s + 2000, len(start)) - 1]
-        out[s : s + 2000] = np.add.reduceat(basis[f[a:b]] * idf[f[a:b], None], start[s : s + 2000] - a)
+        out[s : s + 2000] = np.add.reduceat(space.basis[space.feature[f[a:b]]] * v[a:b, None], start[s : s + 2000] - a)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -245,17 +320,15 @@ class Runs:
 
 def _search(shared, exact_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, idf, basis, items, item_vectors, owner, place, passage_runs = shared.value
+        space, items, item_vectors, owner, place, passage_runs = shared.value
         for b in batches:
             rows = []
             for ids, texts in _texts(b):
-                h, doc, pos, c, at = _grams(texts)
-                known, n = vocab.find(h)
-                d, w, f, start = _windows(doc[known], pos[known], n, KNOWN)
+                d, w, f, start, v, (c, at) = space.windows(texts, KNOWN)
                 all_runs = run_hashes(c)
                 ks, its = passage_runs.pairs(all_runs, at)
                 exact = set(zip(ks.tolist(), its.tolist()))
-                vectors = _latent(f, start, idf, basis)
+                vectors = _latent(space, f, start, v)
                 hits = [(ks, its, np.full(len(ks), -2.0, np.float32), np.full(len(ks), -1), np.full(len(ks), -1))]
                 for r, (k, item) in enumerate(zip(ks.tolist(), its.tolist())):  # the best windows of a pair with a shared run
                     a, b = np.searchsorted(d[start], [k, k + 1])
@@ -295,33 +368,32 @@ def _search(shared, exact_only: bool):
     return run
 
 
-def _one_block(docs: DataFrame, items: DataFrame, exact_only: bool) -> DataFrame | None:
-    spark = docs.sparkSession
+def _one_scan(docs: DataFrame, items: DataFrame, idf: np.ndarray, exact_only: bool) -> DataFrame | None:
     rows = [r for r in items.collect() if r[1]]  # at most ITEMS passages
     if not rows:
         return None
-    h, doc, pos, c, at = _grams([r[1] for r in rows])
-    vocab = Vocabulary(h)
-    sc = spark.sparkContext
-    found = docs.mapInArrow(_frequencies(sc.broadcast(vocab)), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n")).collect()
-    df, total = np.zeros(len(vocab.hashes)), 0
-    for k, n in found:  # one row per gram of the block at most
+    texts, answers = [r[1] for r in rows], reduced([r[2] or "" for r in rows])
+    space = Space(_grams(texts)[0], idf)
+    d, w, f, start, v, (c, at) = space.windows(texts, 1)
+    decompose(items, space, len(start))
+    vectors = _latent(space, f, start, v)
+    own = [(r[0], c[at[i] : at[i + 1]], answers[0][answers[1][i] : answers[1][i + 1]], np.unique(run_hashes(c[at[i] : at[i + 1]]))) for i, r in enumerate(rows)]
+    shared = docs.sparkSession.sparkContext.broadcast((space, own, vectors, d[start] if len(start) else d, w[start] if len(start) else w, Runs([x[3] for x in own])))
+    return docs.mapInArrow(_search(shared, exact_only), _SCHEMA)
+
+
+def _weights(docs: DataFrame, items: DataFrame) -> np.ndarray:
+    """Inverse document frequency of every counter, from one scan of the documents for all items."""
+    sc = docs.sparkSession.sparkContext
+    wanted = np.zeros(1 << COUNTERS, bool)
+    wanted[[r[0] for r in items.select("item_id", "passage").mapInArrow(_known_counters, "counter bigint").distinct().collect()]] = True
+    df, total = np.zeros(1 << COUNTERS), 0
+    for k, n in docs.mapInArrow(_frequencies(sc.broadcast(wanted)), "counter bigint, n bigint").groupBy("counter").agg(F.sum("n")).collect():  # one row a counter at most
         if k < 0:
             total = n
         else:
             df[k] = n
-    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    rank = min(RANK, max(1, len(vocab.hashes)))
-    parts = items.select("item_id", "passage").mapInArrow(_range(sc.broadcast((vocab, idf)), rank), "part binary").collect()
-    y = np.sum([np.frombuffer(p[0], np.float32).reshape(-1, rank) for p in parts], axis=0) if parts else np.zeros((len(idf), rank))
-    basis = np.linalg.qr(y)[0].astype(np.float32)
-    known, n = vocab.find(h)
-    d, w, f, start = _windows(doc[known], pos[known], n, 1)
-    vectors = _latent(f, start, idf, basis)
-    answers, ends = reduced([r[2] or "" for r in rows])
-    own = [(r[0], c[at[i] : at[i + 1]], answers[ends[i] : ends[i + 1]], np.unique(run_hashes(c[at[i] : at[i + 1]]))) for i, r in enumerate(rows)]
-    shared = sc.broadcast((vocab, idf, basis, own, vectors, d[start] if len(start) else d, w[start] if len(start) else w, Runs([x[3] for x in own])))
-    return docs.mapInArrow(_search(shared, exact_only), _SCHEMA)
+    return (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
 
 
 def leaks(documents: DataFrame, items: DataFrame, exact_only: bool = False) -> DataFrame:
@@ -334,8 +406,10 @@ def leaks(documents: DataFrame, items: DataFrame, exact_only: bool = False) -> D
     docs = spread(documents.select("doc_id", "text").where("doc_id is not null and length(text) > 0"), "doc_id")
     slim = items.select(F.col("item_id").cast("bigint").alias("item_id"), "passage", "answer").where("item_id is not null and length(passage) > 0")
     n = slim.count()
-    blocks = max(1, -(-n // ITEMS))
-    parts = [_one_block(docs, slim.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else slim, exact_only) for k in range(blocks)]
+    if not n:
+        return documents.sparkSession.createDataFrame([], _SCHEMA)
+    idf, blocks = _weights(docs, slim), max(1, -(-n // ITEMS))
+    parts = [_one_scan(docs, slim.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else slim, idf, exact_only) for k in range(blocks)]
     parts = [p for p in parts if p is not None]
     if not parts:
         return documents.sparkSession.createDataFrame([], _SCHEMA)
