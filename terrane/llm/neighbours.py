@@ -1,13 +1,14 @@
 """Most similar vectors for every vector: an adaptive dimension scan of probed lists.
 
-Unit vectors are assigned to the lists of centroids fitted on a bounded sample (SAMPLE vectors); the number of lists
-grows with the root of the number of vectors. A query probes PROBES lists. Within a list the vectors lie, rotated by a
+Unit vectors are assigned to the lists of centroids fitted on a bounded sample (SAMPLE vectors, or PER_LIST a list up to
+SAMPLE_MOST); the number of lists grows with the root of the number of vectors, up to a list for PER_LIST of the largest
+sample. A query probes PROBES lists. Within a list the vectors lie, rotated by a
 fixed random orthogonal matrix, in blocks of columns; after each block of columns a hypothesis test compares the
 partial squared distance, scaled to all dimensions, with the query's k-th best distance so far, and candidates that
 cannot reach it at the set significance are abandoned. The rest is compared exactly in double precision.
 
-Lists are cut into blocks of BLOCK vectors and the queries of a list into parts of as many, so a list with a third of
-all vectors is spread over as many tasks as its size asks for. Every block returns k rows a query.
+Lists are cut into blocks of BLOCK vectors and the queries that probe a list, which are counted first, into parts, so a
+list with a third of all vectors or probes is spread over as many tasks as its size asks for. Every block returns k rows a query.
 
 Defined results: vectors that are null, of another length, all zero or not finite take no part on either side; a vector
 is no neighbour of itself; equal similarities (to 9 decimals) are ordered by id; fewer than k others give fewer rows;
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from terrane.runtime import materialize, spread
 
-SAMPLE, ITERATIONS = 16_384, 8
+SAMPLE, PER_LIST, SAMPLE_MOST, ITERATIONS = 16_384, 8, 262_144, 8
 #: Least number of lists a query probes, and the share of the root of all lists it grows to.
 PROBES, PROBE_SHARE = 12, 0.9
 BLOCK = 4096
@@ -56,6 +57,10 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[s : s + 2048] @ c.T).argmax(1) for s in range(0, len(x), 2048)] or [np.zeros(0, np.int64)])
+
+
 def centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     """Spherical k-means."""
     rng = np.random.default_rng(5)
@@ -63,7 +68,7 @@ def centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     lists = max(1, min(lists, len(x)))
     c = x[rng.choice(len(x), lists, replace=False)]
     for _ in range(ITERATIONS):
-        near = (x @ c.T).argmax(1)
+        near = _closest(x, c)
         total = np.zeros_like(c, np.float64)
         np.add.at(total, near, x)
         norm = np.linalg.norm(total, axis=1)
@@ -77,12 +82,31 @@ def _assign(shared, dims: int):
         for b in batches:
             rows, v = _valid(b.column(1), dims)
             ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
-            near = np.concatenate([(_unit(v[s : s + 4096]).astype(np.float32) @ c.T).argmax(1) for s in range(0, len(v), 4096)] or [np.zeros(0, np.int64)])
+            near = _closest(_unit(v).astype(np.float32), c)
             yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["list", "part", "id", "vector"])
 
     return run
 
 
+def _probed(v: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
+    """The lists each vector probes."""
+    parts = [np.argpartition(-(_unit(v[s : s + 2048]).astype(np.float32) @ c.T), min(probes, len(c)) - 1, axis=1)[:, :probes] for s in range(0, len(v), 2048)]
+    return np.concatenate(parts or [np.zeros((0, 1), np.int64)])
+
+
+def _count_probes(shared, dims: int, probes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        total = np.zeros(len(c), np.int64)
+        for b in batches:
+            v = np.frombuffer(b"".join(b.column(0).to_pylist()), np.float32).reshape(-1, dims)
+            total += np.bincount(_probed(v, c, probes).ravel(), minlength=len(c))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["list", "n"])
+
+    return run
+
+
 def _split(shared, dims: int, asked: bool, probes: int):
     """Rows for the blocks of the lists: a vector goes to its block, once for every part of the list's queries; a query
     to every block of the lists it probes."""
@@ -93,7 +117,7 @@ def _split(shared, dims: int, asked: bool, probes: int):
             near, ids = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             if asked:
                 v = np.frombuffer(b"".join(b.column(3).to_pylist()), np.float32).reshape(-1, dims)
-                near = np.concatenate([np.argpartition(-(_unit(v[s : s + 2048]).astype(np.float32) @ c.T), min(probes, len(c)) - 1, axis=1)[:, :probes] for s in range(0, len(v), 2048)]) if len(v) else np.zeros((0, 1), np.int64)
+                near = _probed(v, c, probes)
                 row = np.repeat(np.arange(len(ids)), near.shape[1])
                 near = near.ravel()
             else:
@@ -196,22 +220,25 @@ def neighbours(vectors: DataFrame, k: int = 10, asked: Column | None = None, dim
     spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where("id is not null and size(vector) = " + str(dims))
     n = slim.count()
-    lists = max(1, round(math.sqrt(n)))
-    sample = slim.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(min(1_000_000, 1_000_000 * SAMPLE // max(n, 1)))).limit(SAMPLE + SAMPLE // 10)
-    rows = pa.array([r[0] for r in sample.select("vector").collect()], pa.list_(pa.float32()))
-    fit = _valid(rows, dims)[1]
+    lists = max(1, min(round(math.sqrt(n)), SAMPLE_MOST // PER_LIST))
+    size = max(SAMPLE, PER_LIST * lists)
+    sample = slim.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(min(1 << 40, (size << 40) // max(n, 1)))).limit(size + size // 10)
+    fit = _valid(pa.array([r[0] for r in sample.select("vector").collect()], pa.list_(pa.float32())), dims)[1]
+    if not len(fit):  # a small or wholly invalid sample: any vectors will do
+        some = slim.where(F.forall("vector", lambda x: ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)).limit(size)
+        fit = _valid(pa.array([r[0] for r in some.select("vector").collect()], pa.list_(pa.float32())), dims)[1]
     if not len(fit):
         return spark.createDataFrame([], "id bigint, neighbour_id bigint, rank int, similarity double")
     c = centroids(fit, lists)
     probes = min(len(c), probes or max(PROBES, math.ceil(PROBE_SHARE * math.sqrt(len(c)))))
-    listed = materialize(spread(slim, "id").mapInArrow(_assign(spark.sparkContext.broadcast(c), dims), _LISTED), "listed")
+    known = spark.sparkContext.broadcast(c)
+    listed = materialize(spread(slim, "id").mapInArrow(_assign(known, dims), _LISTED), "listed")
     # one row a list
     queries = listed if asked is None else listed.where(asked)
     counts = dict(listed.groupBy("list").count().collect())
-    wanted = dict(queries.groupBy("list").count().collect())
+    wanted = dict(queries.select("vector").mapInArrow(_count_probes(known, dims, probes), "list int, n bigint").groupBy("list").agg(F.sum("n")).collect())
     blocks = np.array([max(1, -(-counts.get(i, 0) // BLOCK)) for i in range(len(c))])
-    # a list is probed by about `probes` times as many queries as lie in it
-    parts = np.array([max(1, -(-wanted.get(i, 0) * min(probes, len(c)) // (4 * BLOCK))) for i in range(len(c))])
+    parts = np.array([max(1, -(-wanted.get(i, 0) // (4 * BLOCK))) for i in range(len(c))])
     shared = spark.sparkContext.broadcast((c, blocks, parts))
 
     held = listed.mapInArrow(_split(shared, dims, False, probes), _LISTED).groupBy("list", "part")
