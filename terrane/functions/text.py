@@ -87,14 +87,17 @@ def normalize_text(text: Column) -> Column:
     return F.when(text.isNull() | (F.length(text) > LONGEST), F.lit("")).otherwise(kept)
 
 
-def json_array_text(text: Column) -> Column:
-    """From the first [ to the last ]."""
-    return F.regexp_extract(text, r"(?s)\[.*\]", 0)
+def json_array_text(text: Column, marker: str = "") -> Column:
+    """What follows the last marker, from its first [ to its last ]; all of it without such a pair, '' without the marker."""
+    rest = F.substring_index(text, marker, -1) if marker else text
+    found = F.coalesce(F.nullif(F.regexp_extract(rest, r"(?s)\[.*\]", 0), F.lit("")), rest)
+    return F.when(F.contains(text, F.lit(marker)), found).otherwise("") if marker else found
 
 
-def normal_json(text: Column, drop_space: bool = False) -> Column:
-    """Trimmed, line breaks and tabs (or all whitespace) removed, single quotes as double."""
-    return F.translate(F.regexp_replace(F.trim(text), r"\s" if drop_space else r"[\n\r\t]", ""), "'", '"')
+def normal_json(text: Column, drop_space: bool = False, quotes: bool = True) -> Column:
+    """Trimmed, line breaks and tabs (or all whitespace) removed, single quotes as double if wanted."""
+    t = F.regexp_replace(strip(text), r"\s" if drop_space else r"[\n\r\t]", "")
+    return F.translate(t, "'", '"') if quotes else t
 
 
 def json_value(text: Column, path: str, default: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.runtime import materialize
+from terrane.runtime import discard, materialize
 
 MAX_ROUNDS = 50
 
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(moved.unionByName(parent.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, materialize(moved.unionByName(parent.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(last)
         after = _state(e)
         if after == before:
             break

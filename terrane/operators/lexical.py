@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.runtime import materialize
+
 STORE = {"k1": 1.2, "b": 0.75}
 OKAPI = {"k1": 1.5, "b": 0.75}
 
@@ -34,14 +36,22 @@ def _tf_part(k1: float, b: float) -> Column:
     return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
 
 
-def bm25_store(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents for each of queries (query_id, term), each term counted once a
-    query. Postings are cut to the queries' terms before they are scored; a filter belongs on `post`, beside the
-    statistics of the whole corpus."""
+def bm25_store(queries: DataFrame, docs: DataFrame, tokens: Column, k: int, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best of docs (doc_id, ...) for each of queries (query_id, term), each term
+    counted once a query. A filter, `allowed` (doc_id), narrows the candidates; lengths and frequencies are those of the
+    whole corpus. The corpus is tokenised once: tokens of no query are dropped before they are grouped, and a row without a
+    term carries the length of every document."""
     terms = queries.select("query_id", "term").distinct()
-    needed = post.join(terms.select("term").distinct(), "term", "left_semi")
+    t = docs.select("doc_id", tokens.alias("tokens")).where("tokens is not null")
+    t = t.select("doc_id", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    t = t.join(terms.select("term").distinct().withColumn("wanted", F.lit(True)), "term", "left").where("wanted or term is null")
+    t = materialize(t.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = t.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    needed = t.where("term is not null")
     df = needed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if allowed is not None:
+        needed = needed.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
     weight = needed.join(df, "term").join(F.broadcast(stats)).select("term", "doc_id", (idf * _tf_part(k1, b)).alias("w"))
     scored = weight.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 5).alias("score"))
     win = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")

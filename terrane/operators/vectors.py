@@ -55,8 +55,12 @@ def scale_score(raw: Column, metric: str, convention: str = "index") -> Column:
     return F.greatest(1 - raw / 2, F.lit(0.0)) if metric == "l2" else F.least(raw, F.lit(1.0))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of that length, their vectors)."""
+    at = column.offsets.to_numpy()
+    ok = np.flatnonzero(np.diff(at) == dims)
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return ok, flat[at[:-1][ok][:, None] + np.arange(dims)].astype(np.float64) if len(ok) else np.zeros((0, dims))
 
 
 def _scan(shared, k: int, metric: str):
@@ -66,7 +70,10 @@ def _scan(shared, k: int, metric: str):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, v = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))
+            ok, v = _matrix(b.column(1), q.shape[1])
+            if not len(ok):
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)[ok]
             for s in range(0, len(q), 1024):
                 raw = q[s : s + 1024] @ v.T
                 if metric == "cosine":
@@ -86,8 +93,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 3, metric: str = "ip",
     """(query_id, id, raw, rank) of the k best of `vectors` (id, vector) for each of `queries` (query_id, vector), exactly.
 
     Every Arrow batch of vectors is multiplied with a broadcast block of queries and keeps k rows a query (and ties);
-    only these are shuffled. Filters on `vectors` apply before the top k. Equal scores are ordered by id. Vectors must
-    be of one length; null vectors take no part.
+    only these are shuffled. Filters on `vectors` apply before the top k. Equal scores are ordered by id. The length is
+    that of most queries; null vectors and those of another length take no part on either side.
     """
     if not 0 < k <= 10_000:
         raise ValueError("k must be between 1 and 10000")
@@ -95,8 +102,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 3, metric: str = "ip",
         raise ValueError(f"unknown metric: {metric}")
     spark = vectors.sparkSession
     rows = queries.select("query_id", "vector").where("vector is not null")
-    n = rows.count()
-    parts, blocks = [], max(1, -(-n // QUERY_BLOCK))
+    lengths = dict(rows.groupBy(F.size("vector")).count().collect())  # one row a length
+    dims = max(lengths, key=lambda k: (lengths[k], k)) if lengths else 0
+    rows = rows.where(F.size("vector") == dims)
+    parts, blocks = [], max(1, -(-lengths.get(dims, 0) // QUERY_BLOCK))
     held = vectors.select("id", "vector").where("vector is not null")
     for block in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import text as T
@@ -35,10 +35,9 @@ def hybrid_rerank(s: SparkSession, d: str) -> DataFrame:
 
 def rrf(s: SparkSession, d: str) -> DataFrame:
     """Two lists: documents by length and by time."""
-    docs = table(s, d, "documents")
-    # only the 100 rows of a list are numbered
-    rank = lambda n, *o: docs.orderBy(*o).limit(100).select(F.lit(n).alias("list_no"), (F.row_number().over(Window.orderBy(*o)) - 1).alias("rank"), F.col("doc_id").alias("item"))
-    return R.rrf(rank(0, F.col("n_chars").desc(), "doc_id").unionByName(rank(1, F.col("create_time").desc_nulls_last(), "doc_id")))
+    docs = table(s, d, "documents").select("doc_id", "n_chars", "create_time")
+    rank = lambda n, c: R.numbered(docs, [F.col(c).desc_nulls_last(), F.col("doc_id")]).select(F.lit(n).alias("list_no"), (F.col("number") - 1).alias("rank"), F.col("doc_id").alias("item"))
+    return R.rrf(rank(0, "n_chars").unionByName(rank(1, "create_time")))
 
 
 def feature_select(s: SparkSession, d: str) -> DataFrame:
@@ -79,9 +78,9 @@ def recall_quota(s: SparkSession, d: str) -> DataFrame:
 
 
 def prefer_filter(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of a model score of at least 0.8; the stand-in score is a number of the text."""
+    """Pairs of a model score of at least 0.5, best first; the stand-in score is a number of the text."""
     p = table(s, d, "mx_document").select("mx_id", F.from_json("metadata", _M).alias("m"))
-    return p.select("mx_id", T.parse_score(F.col("m.dense_score")).alias("score")).where("score >= 0.5")
+    return p.select("mx_id", T.parse_score(F.col("m.dense_score")).alias("score")).where("score >= 0.5").orderBy(F.col("score").desc(), "mx_id")
 
 
 def score_to_similarity(s: SparkSession, d: str) -> DataFrame:
@@ -116,7 +115,7 @@ SQL = {
     "minmax_by_type": _RES + "SELECT query_id, retrieval_type, pos, round(s, 6) AS normal FROM nrm",
     "logistic_weight": "SELECT item_id, round(0.4 + 0.3 / (1 + exp(-(length(question) - 6))), 6) AS weight FROM eval_items",
     "hybrid_rerank": _RES + ", dd AS (SELECT query_id, content, arg_max(s, pos) AS d FROM nrm WHERE retrieval_type = 'dense' GROUP BY 1, 2), ss AS (SELECT query_id, content, arg_max(s, pos) AS s FROM nrm WHERE retrieval_type = 'sparse' GROUP BY 1, 2), b AS (SELECT query_id, content, d, s, 0.4 + 0.3 / (1 + exp(-(length('q' || query_id) - 6))) AS w FROM dd FULL JOIN ss USING (query_id, content)), o AS (SELECT query_id, content, round(w * coalesce(d, 0) + (1 - w) * coalesce(s, 0), 6) AS score, CASE WHEN d IS NULL THEN 'sparse' WHEN s IS NULL THEN 'dense' ELSE 'both' END AS retrieval_type FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, content) AS rank FROM o) SELECT * FROM r WHERE rank <= 5",
-    "rrf": "WITH l AS (SELECT 0 AS list_no, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) - 1 AS rank, doc_id AS item FROM documents UNION ALL SELECT 1, row_number() OVER (ORDER BY create_time DESC NULLS LAST, doc_id) - 1, doc_id FROM documents), s AS (SELECT item, round(sum(1.0 / (rank + 60)), 9) AS score, min(list_no * 1000 + rank) AS seen FROM l WHERE rank < 100 GROUP BY 1) SELECT item, score, row_number() OVER (ORDER BY score DESC, seen) AS position FROM s",
+    "rrf": "WITH l AS (SELECT 0 AS list_no, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) - 1 AS rank, doc_id AS item FROM documents UNION ALL SELECT 1, row_number() OVER (ORDER BY create_time DESC NULLS LAST, doc_id) - 1, doc_id FROM documents), s AS (SELECT item, round(sum(1.0 / (rank + 60)), 9) AS score, min(list_no * 1000000000 + rank) AS seen FROM l GROUP BY 1) SELECT item, score, row_number() OVER (ORDER BY score DESC, seen) AS position FROM s",
     "feature_select": "WITH p AS (SELECT DISTINCT pair_id, coalesce(length(question), 0) AS a, coalesce(len(ground_truth), 0) AS b FROM correctness_classifier), l AS (SELECT 0 AS list_no, row_number() OVER (ORDER BY a DESC, pair_id) - 1 AS rank, pair_id AS item FROM p UNION ALL SELECT 1, row_number() OVER (ORDER BY b DESC, pair_id) - 1, pair_id FROM p), s AS (SELECT item, round(sum(1.0 / (rank + 60)), 9) AS score, min(list_no * 1000000000 + rank) AS seen FROM l GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, seen) AS k FROM s) SELECT item, score FROM r WHERE k <= (SELECT round_even(count(*) * 0.8, 0) FROM p)",
     "multi_query_dedup": _RES + ", x AS (SELECT query_id, content, (retrieval_type = 'sparse')::INT AS sub, pos FROM res), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY sub, pos) AS n FROM x) SELECT query_id, content, sub, pos FROM r WHERE n = 1",
     "rerank_topk": _RES + ", r AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, pos) AS rank FROM res WHERE retrieval_type = 'dense') SELECT * FROM r WHERE rank <= 3",

@@ -11,16 +11,14 @@ from terrane.operators.components import connected_components
 from terrane.runtime import materialize, table
 
 
-def _raw(s: SparkSession, d: str, orders: bool = True) -> DataFrame:
+def _raw(s: SparkSession, d: str) -> DataFrame:
     """Every mention of an edge, with a sequence number and its file."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edge = lambda t, a, r, b, seq, file: table(s, d, t).select(a.alias("src"), r.alias("relation"), b.alias("dst"), F.col(seq).cast("bigint").alias("seq"), file.alias("file_id"))
     out = edge("nation", name("n", "n_nationkey"), F.lit("part of"), name("r", "n_regionkey"), "n_nationkey", F.lit("f1"))
     out = out.unionByName(edge("supplier", name("s", "s_suppkey"), F.lit("works in"), name("n", "s_nationkey"), "s_suppkey", F.lit("f2")))
     out = out.unionByName(edge("customer", name("c", "c_custkey"), F.col("c_mktsegment"), name("n", "c_nationkey"), "c_custkey", F.lit("f3")))
-    if orders:
-        out = out.unionByName(edge("orders", name("c", "o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority"), "o_orderkey", F.concat(F.lit("o"), (F.col("o_orderkey") % 3).cast("string"), F.lit(", f4"))))
-    return out
+    return out.unionByName(edge("orders", name("c", "o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority"), "o_orderkey", F.concat(F.lit("o"), (F.col("o_orderkey") % 3).cast("string"), F.lit(", f4"))))
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
@@ -81,20 +79,20 @@ def induced_subgraph(s, d):
 
 
 def khop_nodes(s, d):
-    return G.k_hop(_seeds(s, "r1"), G.add_edges(_raw(s, d, False), ["seq"]), 2)
+    return G.k_hop(_seeds(s, "r1"), _edges(s, d), 2)
 
 
 def khop_edges(s, d):
-    e = G.add_edges(_raw(s, d, False), ["seq"])
+    e = _edges(s, d)
     return G.induced(G.k_hop(_seeds(s, "s1", "s2"), e, 2), e).select("src", "dst", "relation")
 
 
 def bfs_tree(s, d):
-    return G.bfs_tree(_seeds(s, "r1", "n3"), G.add_edges(_raw(s, d, False), ["seq"]), 2)
+    return G.bfs_tree(_seeds(s, "r1", "n3"), _edges(s, d), 2)
 
 
 def wcc(s, d):
-    return connected_components(_raw(s, d, False), "src", "dst")
+    return connected_components(_raw(s, d), "src", "dst")
 
 
 def contexts(s, d):
@@ -151,7 +149,7 @@ def concept_topk(s, d):
 _RAW = "raw AS (SELECT 'n' || n_nationkey AS src, 'part of' AS relation, 'r' || n_regionkey AS dst, n_nationkey::BIGINT AS seq, 'f1' AS file_id FROM nation UNION ALL SELECT 's' || s_suppkey, 'works in', 'n' || s_nationkey, s_suppkey, 'f2' FROM supplier UNION ALL SELECT 'c' || c_custkey, c_mktsegment, 'n' || c_nationkey, c_custkey, 'f3' FROM customer{orders})"
 _ORD = " UNION ALL SELECT 'c' || o_custkey, o_orderstatus, o_orderpriority, o_orderkey, 'o' || (o_orderkey % 3) || ', f4' FROM orders"
 _E = "WITH RECURSIVE " + _RAW + ", e AS (SELECT src, dst, arg_min(relation, seq) AS relation FROM raw GROUP BY 1, 2), nodes AS (SELECT src AS id FROM e UNION SELECT dst FROM e), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
-_FULL, _FK = _E.format(orders=_ORD), _E.format(orders="")
+_FULL = _E.format(orders=_ORD)
 _COMP = ", reach AS (SELECT src AS id, src AS o FROM b UNION SELECT r.id, b.dst FROM reach r JOIN b ON b.src = r.o) SELECT id, min(o) AS component FROM reach GROUP BY 1"
 _CE = "x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id AS query_id, b.id, list_inner_product(a.v, b.v) AS s FROM x a JOIN x b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS k FROM p), ce AS (SELECT query_id, id, round(s, 6) AS score FROM r WHERE k <= 5 AND round(s, 6) > 0.5)"
 _CC = "WITH c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'entity' ELSE 'event' END AS node_type, unnest([lower(trim(source, ' ')), lower(trim(lang, ' '))]) AS concept FROM documents), k AS (SELECT node_type, concept, count(*) AS n FROM c WHERE concept IS NOT NULL GROUP BY 1, 2), a AS (SELECT concept, sum(n)::BIGINT AS n FROM k GROUP BY 1) "
@@ -175,10 +173,10 @@ SQL = {
     "neighbors_undirected": _FULL + " SELECT src AS id, dst AS neighbour FROM b WHERE src IN ('n3', 'n4')",
     "remove_node": _FULL + " SELECT (SELECT count(*) FROM nodes WHERE id NOT IN ('n3', '1-URGENT')) AS n, (SELECT count(*) FROM e WHERE src NOT IN ('n3', '1-URGENT') AND dst NOT IN ('n3', '1-URGENT')) AS m",
     "induced_subgraph": _FULL + " SELECT src, dst, relation FROM e WHERE regexp_matches(src, '^[nr]') AND regexp_matches(dst, '^[nr]')",
-    "khop_nodes": _FK + _HOPS.format(seed="'r1'") + " SELECT id, depth FROM hn",
-    "khop_edges": _FK + _HOPS.format(seed="unnest(['s1', 's2'])") + " SELECT src, dst, relation FROM e WHERE src IN (SELECT id FROM hn) AND dst IN (SELECT id FROM hn)",
-    "bfs_tree": _FK + _TREE,
-    "wcc": _FK + _COMP,
+    "khop_nodes": _FULL + _HOPS.format(seed="'r1'") + " SELECT id, depth FROM hn",
+    "khop_edges": _FULL + _HOPS.format(seed="unnest(['s1', 's2'])") + " SELECT src, dst, relation FROM e WHERE src IN (SELECT id FROM hn) AND dst IN (SELECT id FROM hn)",
+    "bfs_tree": _FULL + _TREE,
+    "wcc": _FULL + _COMP,
     "contexts": _FULL + " SELECT src || ' ' || relation || ' ' || dst AS context, count(*) AS n FROM e GROUP BY 1",
     "triples_merge": "WITH r AS (SELECT passage, lang, item_id, trim(question) AS h, trim(task) AS rel, trim(answer) AS t FROM eval_items WHERE trim(passage) <> ''), ok AS (SELECT * FROM r WHERE h <> '' AND rel <> '' AND t <> '' AND h <> t), e AS (SELECT h AS src, rel AS relation, t AS dst, lang AS f, item_id AS seq FROM ok UNION ALL SELECT h, 'text_conclude', passage, lang, item_id FROM ok UNION ALL SELECT t, 'text_conclude', passage, lang, item_id FROM ok) SELECT md5(src) AS src, md5(dst) AS dst, arg_min(relation, seq) AS relation, string_agg(DISTINCT f, ',' ORDER BY f) AS file_id FROM e GROUP BY e.src, e.dst",
     "event_participants": "WITH x AS (SELECT trim(unnest(string_split(task, '_'))) AS head, trim(lang) AS tail FROM eval_items) SELECT head, 'participate' AS relation, tail, count(*) AS n FROM x WHERE head <> '' AND tail <> '' GROUP BY 1, 3",

@@ -14,16 +14,13 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
-    q = table(s, d, "eval_items").where("item_id % 4 = 0")
+    q = table(s, d, "eval_items")
     return q.select(F.col("item_id").alias("query_id"), F.explode(L.word_tokens(F.col("question"))).alias("term"))
 
 
 def _store(s: SparkSession, d: str, cut: str | None = None) -> DataFrame:
     docs = _docs(s, d)
-    post = L.postings(docs, L.word_tokens(F.col("text")))
-    if cut:
-        post = post.join(docs.where(cut).select("doc_id"), "doc_id", "left_semi")
-    return L.bm25_store(_questions(s, d), post, L.corpus_stats(docs, L.word_tokens(F.col("text"))), 3)
+    return L.bm25_store(_questions(s, d), docs, L.word_tokens(F.col("text")), 3, docs.where(cut) if cut else None)
 
 
 def bm25_store_topk(s: SparkSession, d: str) -> DataFrame:
@@ -39,7 +36,7 @@ def bm25_comma_tokens(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("lang", F.lit("")).alias("l")).select("doc_id", F.concat_ws(",", "s", "l", F.concat("s", F.lit("/"), "l")).alias("text"))
     tokens = L.comma_tokens(F.col("text"))
     q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(tokens).alias("term"))
-    return L.bm25_store(q, L.postings(docs, tokens), L.corpus_stats(docs, tokens), 1)
+    return L.bm25_store(q, docs, tokens, 1)
 
 
 def bm25_pair_okapi(s: SparkSession, d: str) -> DataFrame:
@@ -62,11 +59,11 @@ def _tok(c: str) -> str:
 _POST = "t AS (SELECT doc_id, {tok} AS toks FROM {src}), st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t WHERE toks IS NOT NULL), p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM t) GROUP BY 1, 2)"
 _TF = "tf * {k1p} / (tf + {k1} * (0.25 + 0.75 * dl / avgdl))"
 _TOP = (
-    "WITH " + _POST + ", q AS ({q}), f AS (SELECT * FROM p {cut}), df AS (SELECT term, count(*) AS df FROM f GROUP BY 1), "
+    "WITH " + _POST + ", q AS ({q}), f AS (SELECT * FROM p {cut}), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1), "
     "s AS (SELECT q.query_id, f.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * " + _TF.format(k1=1.2, k1p=2.2) + "), 5) AS score FROM q JOIN f USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY 1, 2), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, score, rank{extra} FROM r WHERE rank <= {k}"
 )
-_Q = f"SELECT DISTINCT item_id AS query_id, unnest({_tok('question')}) AS term FROM eval_items WHERE item_id % 4 = 0"
+_Q = f"SELECT DISTINCT item_id AS query_id, unnest({_tok('question')}) AS term FROM eval_items"
 _COMMA = "(SELECT doc_id, concat_ws(',', coalesce(source, ''), coalesce(lang, ''), coalesce(source, '') || '/' || coalesce(lang, '')) AS text FROM documents)"
 _CTOK = r"list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 _ITEMS = "(SELECT item_id AS doc_id, passage AS text FROM eval_items)"

@@ -51,11 +51,13 @@ def greedy_pack(s: SparkSession, d: str) -> DataFrame:
 
 
 def numbered_lines(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.size(T.numbered_lines(F.col("text"))).alias("n"))
+    x = table(s, d, "documents").where("text is not null").select("doc_id", T.numbered_lines(F.col("text")).alias("x"))
+    return x.select("doc_id", F.size("x").alias("n"), F.md5(F.array_join("x", "|")).alias("digest"))
 
 
 def concept_parse(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "chunks_table").where("chunk_content is not null").select("chunk_id", F.size(T.concept_list(F.col("chunk_content"))).alias("n")).distinct()
+    x = table(s, d, "chunks_table").where("chunk_content is not null").select("chunk_id", T.concept_list(F.col("chunk_content")).alias("x"))
+    return x.select("chunk_id", F.size("x").alias("n"), F.md5(F.array_join("x", "|")).alias("digest")).distinct()
 
 
 def subquery_clean(s: SparkSession, d: str) -> DataFrame:
@@ -68,8 +70,11 @@ def normalize_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def json_slice(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events").select("event_id", F.concat(F.lit("result: ["), "props", F.lit("] done")).alias("t"))
-    return e.select("event_id", T.normal_json(T.json_array_text(F.col("t")), True).alias("json"))
+    """An answer with two markers; some have no brackets, some no marker."""
+    lead = F.when(F.col("event_id") % 5 == 0, "no [mark] ").otherwise("result: [old] result: ")
+    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), "props")).otherwise(F.concat(F.lit("["), "props", F.lit("] done")))
+    e = table(s, d, "events").select("event_id", F.concat(lead, body).alias("t"))
+    return e.select("event_id", T.normal_json(T.json_array_text(F.col("t"), "result:"), True).alias("json"))
 
 
 def json_value(s: SparkSession, d: str) -> DataFrame:
@@ -132,11 +137,11 @@ SQL = {
     "strip_data_uri": _DOCS.format("md5(array_to_string(list_filter(string_split(text || chr(10) || '![x](data:IMAGE/png;base64,AA)' || chr(10) || 'end', chr(10)), lambda x: NOT contains(lower(x), 'data:image')), chr(10))) AS digest"),
     "sentences": r"WITH c AS (SELECT doc_id, list_filter(list_transform(CASE WHEN length(text) > 10000 THEN [text] ELSE string_split(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)) END, lambda x: CASE WHEN length(text) > 10000 THEN x ELSE regexp_replace(x, '^\s+|\s+$', '', 'g') END), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS digest FROM c",
     "truncate_head_tail": "WITH c AS (SELECT doc_id, text, CASE WHEN length(regexp_replace(text, '[^一-鿿]', '', 'g')) / length(text)::DOUBLE > 0.5 THEN 101 ELSE 202 END AS n FROM documents WHERE length(text) > 0) SELECT doc_id, md5(CASE WHEN length(text) <= n THEN text ELSE substr(text, 1, n // 2) || right(text, n - n // 2) END) AS digest FROM c",
-    "numbered_lines": _DOCS.format(r"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[0-9]')))::INT AS n"),
-    "concept_parse": r"SELECT DISTINCT chunk_id, len(list_filter(list_distinct(list_transform(string_split(chunk_content, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> ''))::INT AS n FROM chunks_table WHERE chunk_content IS NOT NULL",
+    "numbered_lines": r"WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: regexp_matches(x, '^[0-9]')) AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS digest FROM c",
+    "concept_parse": r"WITH c AS (SELECT chunk_id, list_filter(list_transform(string_split(chunk_content, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM chunks_table WHERE chunk_content IS NOT NULL), u AS (SELECT chunk_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM c) SELECT DISTINCT chunk_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS digest FROM u",
     "subquery_clean": "SELECT item_id, question AS subquery, trim(answer) AS reasoning FROM eval_items",
     "normalize_text": r"SELECT doc_id, md5(CASE WHEN text IS NULL OR length(text) > 10000 THEN '' ELSE array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'), ' '), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ') END) AS digest FROM documents",
-    "json_slice": r"SELECT event_id, '[' || replace(regexp_replace(props, '\s', '', 'g'), '''', '\"') || ']' AS json FROM events".replace('\\"', '"'),
+    "json_slice": r"WITH p AS (SELECT event_id, replace(regexp_replace(props, '\s', '', 'g'), chr(39), chr(34)) AS p FROM events) SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 3 = 0 THEN p ELSE '[' || p || ']' END AS json FROM p",
     "json_value": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, coalesce(json_extract_string(props, '$.absent'), 'none') AS absent FROM events",
     "parse_score": r"SELECT l_orderkey, l_linenumber, coalesce(nullif(regexp_extract('score: ' || l_tax::VARCHAR, '(1(\.0{1,2})?|0(\.\d{1,2})?)', 1), '')::DOUBLE, 0) AS score FROM lineitem",
     "judge_verdict": "WITH t AS (SELECT item_id, upper(CASE WHEN item_id % 2 = 0 THEN 'well, yes. ' ELSE 'No, not yes. ' END || answer) AS t FROM eval_items) SELECT item_id, starts_with(t, 'YES') OR (strpos(t, 'YES') > 0 AND (strpos(t, 'NO') = 0 OR strpos(t, 'YES') < strpos(t, 'NO'))) AS yes FROM t",

@@ -15,7 +15,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _queries(s: SparkSession, d: str, scaled: bool = False) -> DataFrame:
     v = F.transform(F.col("vector").cast("array<double>"), lambda x: x * 3) if scaled else F.col("vector")
-    return _vectors(s, d).where("id < 20").select(F.col("id").alias("query_id"), v.alias("vector"))
+    return _vectors(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), v.alias("vector"))
 
 
 def _top(metric: str, convention: str = "index", scaled: bool = True, k: int = 10):
@@ -49,12 +49,12 @@ def dense_threshold(s: SparkSession, d: str) -> DataFrame:
 
 def normalize_vectors(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "dense_model").where("vector is not null and size(vector) = 64 and not exists(vector, x -> isnan(x))")
-    return v.select("id", F.round(V.norm(V.normalize_l2(F.col("vector"))), 6).alias("length"), F.round(F.get(V.normalize_l2(F.col("vector")), F.lit(0)), 6).alias("first"))
+    return v.select("id", F.transform(V.normalize_l2(F.col("vector")), lambda x: F.round(x, 6)).alias("vector"))
 
 
 def sparse_topk(s: SparkSession, d: str) -> DataFrame:
     h = table(s, d, "hybrid_model").select("id", F.col("sparse_vector").alias("sparse"))
-    q = h.where("id % 50 = 0").select(F.col("id").alias("query_id"), "sparse")
+    q = h.where("id % 100 = 0").select(F.col("id").alias("query_id"), "sparse")
     return V.sparse_knn(q, h, 5)
 
 
@@ -66,7 +66,7 @@ def sparse_token_max(s: SparkSession, d: str) -> DataFrame:
 
 def sparse_length(s: SparkSession, d: str) -> DataFrame:
     h = table(s, d, "hybrid_model").where("sparse_vector is not null")
-    text = V.serialize_sparse(F.transform_values("sparse_vector", lambda k, v: F.lit(1)))
+    text = V.serialize_sparse(F.transform_values("sparse_vector", lambda k, v: F.round(v * 1000).cast("bigint")))
     return h.select("id", text.alias("text"))
 
 
@@ -75,7 +75,7 @@ _V = "SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings"
 
 def _sql(score: str, order: str, k: int, scale: int, where: str = "", self_: str = "q.id <> x.id", extra: str = "") -> str:
     return (
-        f"WITH x AS ({_V}), q AS (SELECT id, list_transform(v, lambda e: e * {scale}) AS v FROM x WHERE id < 20), "
+        f"WITH x AS ({_V}), q AS (SELECT id, list_transform(v, lambda e: e * {scale}) AS v FROM x WHERE id % 100 = 0), "
         f"s AS (SELECT q.id AS query_id, x.id, {score} AS score, {order} AS o FROM q JOIN x ON {self_} {where}), "
         f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o, id) AS rank FROM s) "
         f"SELECT query_id, id, rank, round(score, 6) AS score{extra} FROM r WHERE rank <= {k}"
@@ -110,8 +110,8 @@ SQL = {
     "dense_lookup": "WITH t AS (" + _sql(f"least({_IP}, 1)", _OIP, 10, 1) + ") SELECT t.query_id, t.id, t.rank, t.score, d.n_chars, 'dense' AS retrieval_type FROM t JOIN documents d ON d.doc_id = t.id",
     "dense_filtered": _sql(_COS, _OCOS, 5, 3, "WHERE x.label IN (1, 3, 5)", "true"),
     "dense_threshold": "SELECT * FROM (" + _sql(f"least({_IP}, 1)", _OIP, 10, 1) + ") WHERE score >= 0.3",
-    "normalize_vectors": "WITH v AS (SELECT id, vector::DOUBLE[] AS v FROM dense_model WHERE vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x))) = 0), n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT id, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS length, round(v[1] / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS first FROM n",
-    "sparse_topk": "WITH l AS (SELECT id, unnest(map_keys(sparse_vector)) AS idx, unnest(map_values(sparse_vector)) AS w FROM hybrid_model), s AS (SELECT q.id AS query_id, v.id, round(sum(q.w * v.w), 6) AS score FROM l q JOIN l v ON q.idx = v.idx WHERE q.id % 50 = 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 5",
+    "normalize_vectors": "WITH v AS (SELECT id, vector::DOUBLE[] AS v FROM dense_model WHERE vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x))) = 0), n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT id, list_transform(v, lambda x: round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6)) AS vector FROM n",
+    "sparse_topk": "WITH l AS (SELECT id, unnest(map_keys(sparse_vector)) AS idx, unnest(map_values(sparse_vector)) AS w FROM hybrid_model), s AS (SELECT q.id AS query_id, v.id, round(sum(q.w * v.w), 6) AS score FROM l q JOIN l v ON q.idx = v.idx WHERE q.id % 100 = 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 5",
     "sparse_token_max": "WITH l AS (SELECT document_id AS id, unnest(map_keys(sparse_vector))::VARCHAR AS token, unnest(map_values(sparse_vector)) AS w FROM hybrid_model WHERE document_id IS NOT NULL) SELECT id, token, round(max(w), 6) AS weight FROM l GROUP BY 1, 2 HAVING max(w) > 0",
-    "sparse_serialize": "SELECT id, '{' || array_to_string(list_transform(list_sort(map_keys(sparse_vector)), lambda k: k || ':1'), ',') || '}/100000' AS text FROM hybrid_model WHERE sparse_vector IS NOT NULL",
+    "sparse_serialize": "SELECT id, '{' || array_to_string(list_transform(list_sort(map_keys(sparse_vector)), lambda k: k || ':' || round(sparse_vector[k] * 1000)::BIGINT), ',') || '}/100000' AS text FROM hybrid_model WHERE sparse_vector IS NOT NULL",
 }

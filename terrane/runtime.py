@@ -31,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """Folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset and the executors
+    are this process (tests)."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = "file://" + os.path.join(tempfile.gettempdir(), "terrane-shared")
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -49,7 +52,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     # removed when the driver's JVM ends
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what `materialize` wrote for `df`, once nothing reads it any more."""
+    path = getattr(df, "_stage_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
