@@ -113,8 +113,8 @@ def _schedule(spark, rows: list[dict], block: int) -> DataFrame:
 def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(mix, shares).
 
-    mix: (slot, source, doc_id, copy, tokens) in the order of slot, a hash within it; blocks beyond the slots of their
-    source come at the end, with slots after the last. shares: one row per target source with its share asked for and
+    mix: (slot, source, doc_id, copy, tokens) in the order of slot, a hash within it; a block for which the
+    sequence has no slot shares one where its place in its source falls. shares: one row per target source with its share asked for and
     really reached, its tokens in the mix and its greatest number of uses of a document.
     """
     spark = documents.sparkSession
@@ -126,7 +126,10 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     blocks = copies.withColumn("block_no", F.floor(F.col("before") / block))
     slots = sum(-(-r["budget"] // block) for r in rows)
     schedule = _schedule(spark, rows, block)
-    mixed = blocks.join(schedule, ["source", "block_no"], "left").select(F.coalesce("slot", F.col("block_no") + slots).alias("slot"), "source", "doc_id", "copy", "tokens")
+    # the sequence gives a source a few slots more or less than it has blocks; those left over stand where their share has them
+    need = F.create_map(*[F.lit(x) for r in rows if r["budget"] > 0 for x in (r["source"], -(-r["budget"] // block))])
+    spare = F.least(F.floor((F.col("block_no") + 0.5) / need[F.col("source")] * slots), F.lit(slots - 1)).cast("bigint")
+    mixed = blocks.join(schedule, ["source", "block_no"], "left").select(F.coalesce("slot", spare).alias("slot"), "source", "doc_id", "copy", "tokens")
     return mixed, _shares(spark, rows, copies)
 
 
