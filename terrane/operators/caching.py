@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrane.operators.vectors import knn
 
 MAX_LEVELS = 6
-POLICIES = {"lru": ["last_access"], "lfu": ["hits", "last_access"], "fifo": ["inserted_at"]}
+POLICIES = {"lru": ["last_access"], "lfu": ["hits", "last_access"], "fifo": ["inserted_at"], "rr": []}
 
 
 def entries(log: DataFrame, key: str, at: str) -> DataFrame:
@@ -48,9 +48,11 @@ def similarity(a: Column, b: Column, score: Column, lo: float, hi: float, revers
     return (hi - lo) - s if reverse else s
 
 
-def keep(entries_: DataFrame, policy: str, size: int) -> DataFrame:
-    """The entries a full cache holds on to: a bounded top-n, without a global sort."""
-    return entries_.orderBy(*[F.col(c).desc() for c in POLICIES[policy]], "key").limit(size)
+def keep(entries_: DataFrame, policy: str, size: int, seed: int = 0) -> DataFrame:
+    """The entries a full cache holds on to: a bounded top-n, without a global sort. `rr` keeps them at random, by a hash of
+    key and seed."""
+    order = [F.xxhash64("key", F.lit(seed))] if policy == "rr" else [F.col(c).desc() for c in POLICIES[policy]]
+    return entries_.orderBy(*order, "key").limit(size)
 
 
 def replay(log: DataFrame, shard: str, key: str, order: list[str], size: int) -> DataFrame:

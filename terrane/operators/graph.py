@@ -78,7 +78,8 @@ def bfs_tree(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     """(seed, src, dst, depth): per seed the edges that discover a node first; successors come before predecessors, then
     by the node the edge comes from."""
     both = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "src", "dst", F.lit(0).alias("way")).unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), "src", "dst", F.lit(1).alias("way")))
-    seen = front = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct()
+    named = "seed" in seeds.columns  # several nodes of one seed
+    seen = front = (seeds.select("seed", "node") if named else seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"))).distinct()
     out = None
     for k in range(1, depth + 1):
         step = front.join(both, front.node == both["at"]).select("seed", "to", "at", "src", "dst", "way")

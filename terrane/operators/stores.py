@@ -72,3 +72,8 @@ def role_map(knowledge: DataFrame) -> DataFrame:
     """(knowledge_id, roles): users and roles of each base."""
     k = knowledge.where("user_id is not null").groupBy("knowledge_id", "user_id").agg(F.min("role").alias("role"))
     return k.groupBy("knowledge_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("user_id", "role")))).alias("roles"))
+
+
+def apply_cipher(df: DataFrame, columns: list[str], cipher) -> DataFrame:
+    """The columns through a callback (Column to Column) that encrypts what is stored or decrypts what is read; nulls stay."""
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), cipher(F.col(c))) for c in columns})

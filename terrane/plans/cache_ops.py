@@ -76,6 +76,7 @@ SQL = {
     "evict_lru": _EN + "SELECT key, last_access FROM k ORDER BY last_access DESC, key LIMIT 50",
     "evict_lfu": _EN + "SELECT key, hits FROM k ORDER BY hits DESC, last_access DESC, key LIMIT 50",
     "evict_fifo": _EN + "SELECT key, inserted_at FROM k ORDER BY inserted_at DESC, key LIMIT 50",
+    "cache_replay": "WITH a AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events), p AS (SELECT *, lag(i) OVER (PARTITION BY event_type, user_id ORDER BY i) AS last FROM a), h AS (SELECT event_type, i, last IS NOT NULL AND (SELECT count(DISTINCT b.user_id) FROM a b WHERE b.event_type = p.event_type AND b.i > p.last AND b.i < p.i) < 20 AS hit FROM p) SELECT event_type, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, greatest(count(*) FILTER (NOT hit) - 20, 0) AS evictions FROM h GROUP BY 1",
     "cache_similarity": "SELECT DISTINCT pair_id, CASE WHEN lower(question) = lower(CASE WHEN pair_id % 2 = 0 THEN upper(question) ELSE 'x' END) THEN 4.0::DOUBLE ELSE least(greatest((pair_id % 7)::DOUBLE, 1), 5) - 1 END AS similarity FROM correctness_classifier WHERE question IS NOT NULL",
 }
 QUERIES = {k: globals()[k] for k in (*SQL, "cache_replay")}

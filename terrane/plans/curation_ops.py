@@ -86,6 +86,8 @@ SQL = {
     "subquery_prompt": "WITH p AS (SELECT DISTINCT ON (pair_id) pair_id, list_filter(answer, lambda x: x IS NOT NULL) AS a FROM correctness_classifier WHERE answer IS NOT NULL) SELECT pair_id, md5(array_to_string(list_transform(a, lambda x, i: 'Step ' || i || ': ' || x), chr(10))) AS prompt FROM p",
     "path_samples": "WITH p AS (SELECT DISTINCT ON (pair_id) pair_id AS item, list_filter(answer, lambda x: x IS NOT NULL) AS a FROM correctness_classifier WHERE answer IS NOT NULL), s AS (SELECT item, unnest(a) AS content, generate_subscripts(a, 1)::INT - 1 AS step FROM p), k AS (SELECT * FROM s WHERE trim(content, ' ') <> '') SELECT item, step, md5(content) AS content, md5(coalesce(string_agg(content, chr(10)) OVER (PARTITION BY item ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS history FROM k",
     "first_correct_path": "SELECT l_orderkey AS item, min(l_linenumber) AS attempt FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1",
+    "hook_embed": "SELECT item_id, 64 AS dims FROM eval_items",
+    "chain_query": r"SELECT item_id AS query_id, regexp_replace(question, '^\w+:\s*', '') AS result, 1 AS n FROM eval_items",
     "normal_results": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || '|b' ELSE event_type END AS texts FROM events",
 }
-QUERIES = {k: globals()[k] for k in (*SQL, "md_split", "protected_blocks", "hook_embed", "hook_rerank", "chain_query", "summary_tree")}
+QUERIES = {k: globals()[k] for k in (*SQL, "md_split", "protected_blocks", "hook_rerank", "summary_tree")}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrane.plans import cache_ops, curation_ops, fusion, graph_ops, integrity, lexical_search, quality_ops, store_ops, text_ops, vector_search
+from terrane.plans import cache_ops, chain_ops, curation_ops, fusion, graph_ops, graph_surface, ingest_ops, integrity, lexical_search, quality_ops, store_ops, text_ops, vector_search
 
-MODULES = (integrity, vector_search, lexical_search, fusion, text_ops, store_ops, graph_ops, quality_ops, cache_ops, curation_ops)
+MODULES = (integrity, vector_search, lexical_search, fusion, text_ops, store_ops, graph_ops, graph_surface, ingest_ops, quality_ops, cache_ops, chain_ops, curation_ops)
 
 
 def queries() -> dict:

@@ -106,6 +106,7 @@ def first_seen_dedup(s: SparkSession, d: str) -> DataFrame:
     return R.first_seen(t, ["digest"], ["doc_id"]).select("doc_id")
 
 
+_SENT_LENGTHS = r"c AS (SELECT item_id, list_transform(list_filter(list_transform(CASE WHEN length(passage) > 10000 THEN [passage] ELSE string_split(regexp_replace(passage, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)) END, lambda x: trim(x)), lambda x: x <> ''), lambda x: length(x)::INT) AS l FROM eval_items)"
 _DOCS = "SELECT doc_id, {} FROM documents WHERE text IS NOT NULL"
 
 QUERIES = {
@@ -137,6 +138,7 @@ SQL = {
     "strip_data_uri": _DOCS.format("md5(array_to_string(list_filter(string_split(text || chr(10) || '![x](data:IMAGE/png;base64,AA)' || chr(10) || 'end', chr(10)), lambda x: NOT contains(lower(x), 'data:image')), chr(10))) AS digest"),
     "sentences": r"WITH c AS (SELECT doc_id, list_filter(list_transform(CASE WHEN length(text) > 10000 THEN [text] ELSE string_split(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)) END, lambda x: CASE WHEN length(text) > 10000 THEN x ELSE regexp_replace(x, '^\s+|\s+$', '', 'g') END), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS digest FROM c",
     "truncate_head_tail": "WITH c AS (SELECT doc_id, text, CASE WHEN length(regexp_replace(text, '[^一-鿿]', '', 'g')) / length(text)::DOUBLE > 0.5 THEN 101 ELSE 202 END AS n FROM documents WHERE length(text) > 0) SELECT doc_id, md5(CASE WHEN length(text) <= n THEN text ELSE substr(text, 1, n // 2) || right(text, n - n // 2) END) AS digest FROM c",
+    "greedy_pack": "WITH RECURSIVE " + _SENT_LENGTHS + ", w AS (SELECT item_id, l, 0 AS i, 0 AS start, 0 AS total, NULL::INT AS from_, NULL::INT AS to_ FROM c UNION ALL SELECT item_id, l, i + 1, CASE WHEN total + l[i + 1] > 200 AND i > start THEN i ELSE start END, CASE WHEN total + l[i + 1] > 200 AND i > start THEN l[i + 1] ELSE total + l[i + 1] END, CASE WHEN total + l[i + 1] > 200 AND i > start THEN start END, CASE WHEN total + l[i + 1] > 200 AND i > start THEN i END FROM w WHERE i < len(l)), g AS (SELECT item_id, from_ AS start, to_ AS stop FROM w WHERE from_ IS NOT NULL UNION ALL SELECT item_id, start, i FROM w WHERE i = len(l) AND i > start) SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY start) - 1)::INT AS group_no, start, stop AS \"end\" FROM g",
     "numbered_lines": r"WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: regexp_matches(x, '^[0-9]')) AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS digest FROM c",
     "concept_parse": r"WITH c AS (SELECT chunk_id, list_filter(list_transform(string_split(chunk_content, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM chunks_table WHERE chunk_content IS NOT NULL), u AS (SELECT chunk_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM c) SELECT DISTINCT chunk_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS digest FROM u",
     "subquery_clean": "SELECT item_id, question AS subquery, trim(answer) AS reasoning FROM eval_items",
