@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,22 +57,30 @@ def keep(entries_: DataFrame, policy: str, size: int, seed: int = 0) -> DataFram
 
 
 def replay(log: DataFrame, shard: str, key: str, order: list[str], size: int) -> DataFrame:
-    """(shard, hits, misses, evictions) of an LRU cache per shard, access by access. A shard's state is bounded by `size`,
-    its accesses arrive in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: OrderedDict = OrderedDict()
-        hits = misses = evicted = 0
-        for k in pdf.sort_values(order)[key]:
-            if k in held:
-                held.move_to_end(k)
-                hits += 1
-            else:
-                misses += 1
-                held[k] = None
-                if len(held) > size:
-                    held.popitem(last=False)
-                    evicted += 1
-        return pd.DataFrame({shard: [pdf[shard].iloc[0]], "hits": [hits], "misses": [misses], "evictions": [evicted]})
-
-    return log.select(shard, key, *order).groupBy(shard).applyInPandas(run, f"{shard} {dict(log.dtypes)[shard]}, hits bigint, misses bigint, evictions bigint")
+    """(shard, hits, misses, evictions) of an LRU cache per shard, access by access. The accesses of a shard arrive sorted, in
+    batches; only its cache of `size` keys is held. Null shards are one shard."""
+    kind = dict(log.dtypes)[shard]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held, counts = None, OrderedDict(), [0, 0, 0]
+        out: list[tuple] = []
+        for b in batches:
+            for s, null, k in zip(b[shard], b[shard].isna(), b[key]):
+                s = None if null else s
+                if current is None or s != current[0]:
+                    out += [(current[0], *counts)] if current else []
+                    current, held, counts = (s,), OrderedDict(), [0, 0, 0]
+                if k in held:
+                    held.move_to_end(k)
+                    counts[0] += 1
+                else:
+                    counts[1] += 1
+                    held[k] = None
+                    if len(held) > size:
+                        held.popitem(last=False)
+                        counts[2] += 1
+        out += [(current[0], *counts)] if current else []
+        yield pd.DataFrame(out, columns=[shard, "hits", "misses", "evictions"])
+
+    sorted_ = log.select(shard, key, *order).repartition(shard).sortWithinPartitions(shard, *order)
+    return sorted_.mapInPandas(run, f"{shard} {kind}, hits bigint, misses bigint, evictions bigint")

@@ -38,9 +38,9 @@ def update_by(store: DataFrame, new: DataFrame, on: str, columns: list[str], str
     """Keyed overwrite of `columns`; a null in `new` keeps the old value. `strict`: an unknown key is an error."""
     if strict and not new.join(store.select(on), on, "left_anti").isEmpty():
         raise ValueError("some keys are not in the store")
-    if not new.groupBy(on).count().where("count > 1").isEmpty():
-        raise ValueError("a key is updated twice")
-    n = new.select(on, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    # a key that is updated twice fails the job that reads the result
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("a key is updated twice")).cast("int"))
+    n = new.groupBy(on).agg(*[F.first(c).alias(f"_new_{c}") for c in columns], once.alias("_once")).where("_once is null").drop("_once")
     out = store.join(n, on, "left")
     for c in columns:
         out = out.withColumn(c, F.coalesce(f"_new_{c}", c)).drop(f"_new_{c}")
