@@ -72,3 +72,80 @@ def ranked_gain(ranked: DataFrame, k: int) -> DataFrame:
     r = ranked.withColumn("best", F.row_number().over(ideal))
     sums = r.groupBy("item").agg(F.sum(F.when(F.col("rank") <= k, gain(F.col("rank")))).alias("g"), F.sum(F.when(F.col("best") <= k, gain(F.col("best")))).alias("i"))
     return sums.select("item", F.round(F.coalesce(F.col("g") / F.nullif(F.col("i"), F.lit(0.0)), F.lit(0.0)), 6).alias("value"))
+
+
+def _mean(verdicts: DataFrame) -> DataFrame:
+    """(item, value): share of verdicts 1 of (item, verdict), nulls counting 0."""
+    return verdicts.groupBy("item").agg(F.round(F.avg(F.coalesce(F.col("verdict").cast("double"), F.lit(0.0))), 6).alias("value"))
+
+
+def _rated(greatest: float):
+    """Mean of a judge's ratings from 0 to `greatest`, scaled to 1; ratings outside, and nulls, do not count."""
+
+    def run(ratings: DataFrame) -> DataFrame:
+        ok = F.when((F.col("rating") >= 0) & (F.col("rating") <= greatest), F.col("rating") / greatest)
+        return ratings.groupBy("item").agg(F.round(F.avg(ok), 6).alias("value"))
+
+    return run
+
+
+def _correctness(counts: DataFrame) -> DataFrame:
+    """(item, tp, fp, fn, similarity): three quarters F1 of statements, one quarter similarity."""
+    f1 = F.col("tp") / F.nullif(F.col("tp") + 0.5 * (F.col("fp") + F.col("fn")), F.lit(0.0))
+    return counts.select("item", F.round(0.75 * F.coalesce(f1, F.lit(0.0)) + 0.25 * F.coalesce("similarity", F.lit(0.0)), 6).alias("value"))
+
+
+def _noise(claims: DataFrame) -> DataFrame:
+    """(item, correct 0/1, supported 0/1): share of the claims that are wrong although a retrieved text supports them."""
+    return claims.groupBy("item").agg(F.round(F.avg(((F.col("correct") == 0) & (F.col("supported") == 1)).cast("double")), 6).alias("value"))
+
+
+def _relevant(questions: DataFrame) -> DataFrame:
+    """(item, score, evasive 0/1): mean similarity of questions made from the answer, 0 if the answer evades."""
+    return questions.groupBy("item").agg(F.round(F.avg(F.coalesce("score", F.lit(0.0))) * F.when(F.max("evasive") == 1, 0).otherwise(1), 6).alias("value"))
+
+
+def _precision(ranked: DataFrame) -> DataFrame:
+    from terrane.operators.quality import context_precision
+
+    return context_precision(ranked).withColumnRenamed("precision", "value")
+
+
+def _entities(pairs: DataFrame) -> DataFrame:
+    from terrane.operators.quality import entity_recall
+
+    return pairs.select("item", F.round(F.coalesce(entity_recall(F.col("found"), F.col("wanted")), F.lit(0.0)), 6).alias("value"))
+
+
+#: The metrics by name: each takes the relation of the model's verdicts and gives (item, value).
+METRICS = {
+    "answer_correctness": _correctness,
+    "answer_similarity": lambda d: d.select("item", F.round("similarity", 6).alias("value")),
+    "answer_relevancy": _relevant,
+    "context_precision": _precision,
+    "context_recall": _mean,
+    "context_entity_recall": _entities,
+    "context_utilization": _precision,
+    "faithfulness": _mean,
+    "noise_sensitivity": _noise,
+    "nv_accuracy": _rated(4.0),
+    "nv_context_relevance": _rated(2.0),
+    "nv_response_groundedness": _rated(2.0),
+}
+
+
+def metrics_of(names: list[str]) -> dict:
+    """The known metrics among the names, once each in their order; none is an error."""
+    found = {n: METRICS[n] for n in names if n in METRICS}
+    if not found:
+        raise ValueError("no known metric is asked for")
+    return found
+
+
+def evaluate(verdicts: dict[str, DataFrame]) -> DataFrame:
+    """(item, metric, value) of every known metric with its verdicts."""
+    out = None
+    for name, f in metrics_of(list(verdicts)).items():
+        part = f(verdicts[name]).select("item", F.lit(name).alias("metric"), "value")
+        out = part if out is None else out.unionByName(part)
+    return out

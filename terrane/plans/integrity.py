@@ -34,6 +34,15 @@ def p2_orphan_keys(spark: SparkSession, d: str) -> DataFrame:
     return R.orphan_keys(state)
 
 
+def p2_after_retraction(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan keys after a batch that takes back every reference of hybrid_model, every second removal and every fifth
+    registration from a stored state."""
+    refs, reg, log = _refs(spark, d), table(spark, d, "document_table"), table(spark, d, "deleted_documents")
+    state = materialize(R.apply_deltas(None, [*map(R.reference_deltas, refs), R.registration_deltas(reg), R.removal_deltas(log)]), "refcounts")
+    back = [R.reference_deltas(refs[2], -1), R.removal_deltas(log.where("document_id % 2 = 0"), sign=-1), R.registration_deltas(reg.where("document_id % 5 = 0"), sign=-1)]
+    return R.orphan_keys(R.apply_deltas(state, back))
+
+
 _ROWS = """
 WITH refs AS (
   SELECT 'chunks_table' AS src_table, chunk_id AS row_id, document_id AS k, create_time AS t FROM chunks_table
@@ -48,8 +57,9 @@ rows_ AS (
   WHERE refs.k IS NOT NULL AND refs.k <> 0)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_by_month": p2_by_month, "p2_orphan_keys": p2_orphan_keys}
+QUERIES = {"p2_found": p2_found, "p2_by_month": p2_by_month, "p2_orphan_keys": p2_orphan_keys, "p2_after_retraction": p2_after_retraction}
 SQL = {
+    "p2_after_retraction": "WITH r AS (SELECT document_id AS key FROM chunks_table UNION ALL SELECT document_id FROM dense_model), k AS (SELECT key, count(*) AS refs FROM r WHERE key IS NOT NULL AND key <> 0 GROUP BY 1), x AS (SELECT key, refs, key IN (SELECT document_id FROM deleted_documents WHERE document_id % 2 <> 0) AS gone, key IN (SELECT document_id FROM document_table WHERE document_id % 5 <> 0) AS known FROM k) SELECT key, refs, CASE WHEN gone THEN 'deleted' ELSE 'missing' END AS reason FROM x WHERE gone OR NOT known",
     "p2_found": _ROWS + "SELECT DISTINCT src_table, row_id, reason FROM rows_ WHERE reason IS NOT NULL",
     "p2_by_month": _ROWS + "SELECT src_table, strftime(t, '%Y-%m') AS month, reason, count(*) AS n_records FROM rows_ WHERE reason IS NOT NULL GROUP BY 1, 2, 3",
     "p2_orphan_keys": _ROWS.replace("rows_ AS (\n  SELECT DISTINCT", "rows_ AS (\n  SELECT refs.k AS rk,")

@@ -178,3 +178,40 @@ def test_evaluation(spark):
     r = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 0)], "item int, rank int, relevant int")
     assert {(x.item, x.value) for x in V.reciprocal_rank(r).collect()} == {(1, 0.5), (2, 0.0)}
     assert {(x.item, x.value) for x in V.ranked_gain(r, 5).collect()} == {(1, 0.63093), (2, 0.0)}
+
+
+def test_services(spark):
+    from pyspark.errors import PySparkException
+
+    from terrane.functions import services as V
+
+    assert one(spark, V.sparse_vector(F.col("t")), t='[{"index":1,"value":1.0},{"index":1,"value":2.0}]') == {1: 2.0} and one(spark, V.sparse_vector(F.lit(None).cast("string"))) is None
+    assert one(spark, V.rerank_scores(F.col("t"), F.lit(3)), t='[{"index":2,"score":0.5}]') == [0.0, 0.0, 0.5] and one(spark, V.rerank_scores(F.col("t"), F.lit(0)), t="[]") == []
+    assert one(spark, V.dense_vectors(F.col("t")), t="[[1.0],[2.0]]") == [[1.0], [2.0]]
+    for c in (V.sparse_vector(F.lit('[{"value":1.0}]')), V.rerank_scores(F.lit('[{"index":3,"score":1.0}]'), F.lit(3)), V.rerank_scores(F.lit('[{"index":1,"score":1.0},{"index":1,"score":1.0}]'), F.lit(3))):
+        with pytest.raises(PySparkException):
+            one(spark, c)
+
+
+def test_metrics_by_name_and_empty_training_data(spark):
+    from terrane.operators import training as N
+
+    assert list(V.metrics_of(["faithfulness", "x", "faithfulness", "nv_accuracy"])) == ["faithfulness", "nv_accuracy"]
+    with pytest.raises(ValueError):
+        V.metrics_of(["x"])
+    r = spark.createDataFrame([(1, 4.0), (1, None), (2, 7.0)], "item int, rating double")
+    assert {(x.item, x.value) for x in V.METRICS["nv_accuracy"](r).collect()} == {(1, 1.0), (2, None)}
+    d = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, content string")
+    assert N.train_data(d, lambda t: t, [lambda q, t: F.length(q)], lambda q, t: F.lit("1"), lambda q, n: q).count() == 0
+
+
+def test_a_key_updated_twice_fails_and_replay_is_per_shard(spark):
+    from pyspark.errors import PySparkException
+
+    from terrane.operators import stores as T
+
+    store = spark.createDataFrame([(1, "a")], "id long, content string")
+    with pytest.raises(PySparkException):
+        T.update_by(store, spark.createDataFrame([(1, "x"), (1, "y")], store.schema), "id", ["content"]).collect()
+    log = spark.createDataFrame([(s, k, i) for i, (s, k) in enumerate([("p", "a"), (None, "a"), ("p", "a"), (None, "b"), ("p", "b"), (None, "a"), ("p", "a")])], "shard string, k string, i int")
+    assert {tuple(r) for r in C.replay(log, "shard", "k", ["i"], 1).collect()} == {("p", 1, 3, 2), (None, 0, 3, 2)}
