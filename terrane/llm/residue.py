@@ -365,16 +365,25 @@ def _joined_features(parts):
     return *(np.concatenate(x) for x in zip(*rows)), np.concatenate(cols)
 
 
-def train(rows: list[tuple[str, str | None, str | None]]) -> tuple[Model | None, dict]:
-    """Fit on (text, title, host) rows with weak labels; returns the model and its figures on the hosts that only report:
-    f1 of whole documents, f1_pages and f1_spans."""
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (text, title, host) with the share of residue in the body and the number of placeholders."""
+    for b in batches:
+        texts = b.column(0).to_pylist()
+        more = pa.array([residue_share(t)[0] for t in texts], pa.float64()), pa.array([placeholders(t) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([*b.columns, *more], ["text", "title", "host", "share", "holes"])
+
+
+def train(rows: list[tuple[str, str | None, str | None]], labels: list[tuple[float, int]] | None = None) -> tuple[Model | None, dict]:
+    """Fit on (text, title, host) rows with weak labels (share of residue, placeholders), taken from the texts where they are
+    not given; returns the model and its figures on the hosts that only report: f1 of whole documents, f1_pages and f1_spans."""
     texts, titles = [r[0] for r in rows], [r[1] for r in rows]
     hosts = [(r[2] or "").strip().lower() for r in rows]
     names = {h: i % 5 for i, h in enumerate(sorted(set(hosts)))}
     role = np.array([names[h] for h in hosts], np.int64)
-    share = np.array([residue_share(t)[0] for t in texts])
+    labels = [(residue_share(t)[0], placeholders(t)) for t in texts] if labels is None else labels
+    share = np.array([x for x, _ in labels], float)
     page = np.where(share >= 0.5, 1, np.where(share < 0.3, 0, -1))
-    hole = np.array([placeholders(t) > 0 for t in texts], bool)
+    hole = np.array([x > 0 for _, x in labels], bool)
     doc, found = spans(texts)
     span_role, span_y = role[np.array(doc, np.int64)], np.array([bool(_PLACE.search(t)) for t in found], np.int64)
 
@@ -422,7 +431,9 @@ def residue(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text", F.col("document_name").alias("title"), F.col("source").alias("host")).where("doc_id is not null and text is not null and length(trim(text)) > 0")
     n = docs.count()
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(min(1_000_000, 1_000_000 * SAMPLE // max(n, 1))))
-    # a hash picks SAMPLE rows but for a few; the limit is the bound
-    model, _ = train([tuple(r) for r in picked.select("text", "title", "host").limit(SAMPLE + SAMPLE // 10).collect()])
+    # a hash of the unique id picks SAMPLE rows but for a few
+    labelled = spread(picked.select("text", "title", "host"), "text").mapInArrow(_label, "text string, title string, host string, share double, holes bigint")
+    rows = labelled.collect()[: SAMPLE + SAMPLE // 10]
+    model, _ = train([tuple(r)[:3] for r in rows], [tuple(r)[3:] for r in rows])
     shared = documents.sparkSession.sparkContext.broadcast(model)
     return spread(docs.select("doc_id", "text", "title"), "doc_id").mapInArrow(_score(shared), "doc_id bigint, score double, residue boolean, kind string")
