@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import hooks as H
 from terrane.functions import repair as J
+from terrane.operators import concepts as N
 from terrane.operators import extraction as X
 from terrane.operators import graph_retrieval as R
 from terrane.operators import property_graph as P
@@ -185,15 +186,49 @@ def repair_event_entity(s, d):
     return x.select("item_id", "pos", F.col("g.event").alias("event"), F.array_join("g.entities", "|").alias("entities"))
 
 
-def relation_extract(s, d):
-    """The model answers with what stands between the tags of the asked kind: valid JSON, single quotes, and no JSON at all."""
+def _tagged(s, d):
     one, two, three = _plain("question"), _plain("task"), _plain("answer")
     ent = F.concat(F.lit('<E>[{"头实体":"'), two, F.lit('","关系":"is","尾实体":"x"}]</E>'))
     eve = F.concat(F.lit("<G>[{'事件': '"), two, F.lit("', '实体': ['a', 'b']}]</G>"))
     bad = F.concat(F.lit('<V>"头事件": "'), one, F.lit('" "关系": "before" "尾事件": "'), three, F.lit('"</V>'))
-    docs = table(s, d, "eval_items").select(F.concat(F.lit("\n"), ent, eve, bad).alias("text"), F.col("item_id").cast("string").alias("source"))
-    answer = lambda p: F.regexp_extract(p, r"(?s)^(.).*<\1>(.*)</\1>", 2)
-    r = X.extract_relations(docs, answer, {"entity_relation": "E", "event_entity": "G", "event_relation": "V"})
+    return table(s, d, "eval_items").select(F.concat(F.lit("\n"), ent, eve, bad).alias("text"), F.col("item_id").cast("string").alias("source"))
+
+
+_ASK = {"entity_relation": "E", "event_entity": "G", "event_relation": "V"}
+
+
+def _answer(p):
+    """What stands between the tags of the asked kind: valid JSON, single quotes, and no JSON at all."""
+    return F.regexp_extract(p, r"(?s)^(.).*<\1>(.*)</\1>", 2)
+
+
+def graph_build(s, d):
+    _, edges, _ = N.build_graph(_tagged(s, d), _answer, _ASK, lambda c: F.array(F.length(c)))
+    return edges.select(F.md5("src").alias("src"), F.md5("dst").alias("dst"), "relation", F.md5(F.col("attrs")["file_id"]).alias("files"))
+
+
+def name_database(s, d):
+    x = N.name_database(table(s, d, "part").select(F.col("p_name").alias("name")), lambda c: F.array(F.length(c)))
+    return x.select("id", "name", F.get("vector", F.lit(0)).alias("first"))
+
+
+def generate_qa(s, d):
+    """Questions and paragraphs of the documents' Q<n>: blocks."""
+    t = table(s, d, "documents").where("text is not null").select("doc_id", F.array_sort(F.map_entries(N.question_paragraphs(F.col("text")))).alias("x")).where("size(x) > 0")
+    return t.select("doc_id", F.size("x").alias("n"), F.md5(F.array_join(F.transform("x", lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")).alias("digest"))
+
+
+def concept_attributes(s, d):
+    """Concepts of nations from a model's list, clustered by their first letter."""
+    nodes = _places(s, d)
+    items = table(s, d, "nation").select(_id("n", "n_nationkey").alias("item"), F.lit("entity").alias("node_type"), F.array(F.lower("n_name"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).alias("concepts"), F.lit(1).alias("at"))
+    clusters = items.select(F.explode("concepts").alias("concept")).distinct().withColumn("cluster", F.left("concept", F.lit(1)))
+    n, _ = N.attach(nodes, _links(s, d), N.concept_strings(items, N.representatives(items, clusters), ["at"]))
+    return n.select("id", F.col("attrs")["concepts"].alias("concepts"), F.col("attrs")["synset"].alias("synset"))
+
+
+def relation_extract(s, d):
+    r = X.extract_relations(_tagged(s, d), _answer, _ASK)
     flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("|", x["head"], x["relation"], x["tail"])), ";")
     groups = F.array_join(F.transform("event_entity_relations", lambda x: F.concat(x["event"], F.lit("="), F.array_join(x["entities"], ","))), ";")
     return r.select("file_id", flat("entity_relations").alias("entity"), groups.alias("event_entity"), flat("event_relations").alias("event"))
@@ -231,8 +266,18 @@ QUERIES = {
     "node_update_append": node_update_append, "edge_update": edge_update, "nodes_by_attribute": nodes_by_attribute, "nodes_containing": nodes_containing, "edge_remove": edge_remove, "edge_attribute_values": edge_attribute_values,
     "node_link_round_trip": node_link_round_trip, "strong_components": strong_components, "text_node_search": text_node_search, "node_retrieve": node_retrieve, "question_contexts": question_contexts, "graph_answer": graph_answer, "node_gather": node_gather,
     "repair_entity": _repaired(J.ENTITY), "repair_event": _repaired(J.EVENT), "repair_event_entity": repair_event_entity, "relation_extract": relation_extract, "relation_counts": relation_counts, "bracket_entities": bracket_entities, "without_empty_lines": without_empty_lines,
+    "graph_build": graph_build, "name_database": name_database, "generate_qa": generate_qa, "concept_attributes": concept_attributes,
 }
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEXT = " || ".join(("chr(10)", _quoted('<E>[{"头实体":"'), "t", _quoted('","关系":"is","尾实体":"x"}]</E>'), _quoted("<G>[{'事件': '"), "t", _quoted("', '实体': ['a', 'b']}]</G>"), _quoted('<V>"头事件": "'), "q", _quoted('" "关系": "before" "尾事件": "'), "a", _quoted('"</V>')))
 SQL = {
+    "graph_build": f"WITH i AS (SELECT item_id::VARCHAR AS f, {_CLEAN.format('question')} AS q, {_CLEAN.format('task')} AS t, {_CLEAN.format('answer')} AS a FROM eval_items), x AS (SELECT f, trim(q, ' ') AS q, trim(t, ' ') AS t, trim(a, ' ') AS a, {_TEXT} AS text FROM i), m AS (SELECT t AS src, 'is' AS relation, 'x' AS dst, text, f FROM x UNION ALL SELECT 'a', 'participate', t, text, f FROM x UNION ALL SELECT 'b', 'participate', t, text, f FROM x UNION ALL SELECT q, 'before', a, text, f FROM x), ok AS (SELECT * FROM m WHERE src <> '' AND dst <> '' AND src <> dst), e AS (SELECT src, relation, dst, f FROM ok UNION ALL SELECT src, 'text_conclude', text, f FROM ok UNION ALL SELECT dst, 'text_conclude', text, f FROM ok) SELECT md5(src) AS src, md5(dst) AS dst, min(relation) AS relation, md5(string_agg(DISTINCT f, ',' ORDER BY f)) AS files FROM e GROUP BY e.src, e.dst",
+    "name_database": "SELECT row_number() OVER (ORDER BY name) - 1 AS id, name, length(name)::INT AS first FROM (SELECT DISTINCT p_name AS name FROM part WHERE trim(p_name) <> '')",
+    "generate_qa": r"WITH b AS (SELECT doc_id, unnest(string_split_regex(text, 'Q\d+[:：]')) AS b, generate_subscripts(string_split_regex(text, 'Q\d+[:：]'), 1) AS i FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, i, string_split_regex(b, '参考段落[:：]?') AS p FROM b), k AS (SELECT doc_id, i, regexp_replace(p[1], '^\s+|\s+$', '', 'g') AS q, regexp_replace(p[2], '^\s+|\s+$', '', 'g') AS t FROM p WHERE len(p) = 2), l AS (SELECT doc_id, q, arg_max(t, i) AS t FROM k WHERE q <> '' GROUP BY 1, 2) SELECT doc_id, count(*)::INT AS n, md5(string_agg(q || '=' || t, '|' ORDER BY q)) AS digest FROM l GROUP BY 1",
+    "concept_attributes": f"WITH {_PL}, c AS (SELECT 'n' || n_nationkey AS id, lower(n_name) AS a, 'r' || n_regionkey AS b FROM nation), k AS (SELECT concept, count(*) AS n FROM (SELECT a AS concept FROM c UNION ALL SELECT b FROM c) GROUP BY 1), r AS (SELECT concept, first_value(concept) OVER (PARTITION BY left(concept, 1) ORDER BY n DESC, concept) AS rep FROM k) SELECT pl.id, c.a || ',' || c.b AS concepts, CASE WHEN c.id IS NOT NULL THEN CASE WHEN ra.rep = rb.rep THEN ra.rep ELSE least(ra.rep, rb.rep) || ',' || greatest(ra.rep, rb.rep) END END AS synset FROM pl LEFT JOIN c USING (id) LEFT JOIN r ra ON ra.concept = c.a LEFT JOIN r rb ON rb.concept = c.b",
     "node_add": f"WITH {_PL} SELECT id, name FROM pl UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier",
     "node_has": f"WITH {_PL}, {_KEYS} SELECT id, id IN (SELECT id FROM pl) AS there FROM keys",
     "edge_has": "SELECT 'n' || n_nationkey AS src, 'r' || (n_nationkey % 5) AS dst, n_nationkey % 5 = n_regionkey AS there FROM nation",

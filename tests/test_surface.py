@@ -215,3 +215,53 @@ def test_a_key_updated_twice_fails_and_replay_is_per_shard(spark):
         T.update_by(store, spark.createDataFrame([(1, "x"), (1, "y")], store.schema), "id", ["content"]).collect()
     log = spark.createDataFrame([(s, k, i) for i, (s, k) in enumerate([("p", "a"), (None, "a"), ("p", "a"), (None, "b"), ("p", "b"), (None, "a"), ("p", "a")])], "shard string, k string, i int")
     assert {tuple(r) for r in C.replay(log, "shard", "k", ["i"], 1).collect()} == {("p", 1, 3, 2), (None, 0, 3, 2)}
+
+
+def test_stores_in_a_folder(spark, tmp_path):
+    from terrane.operators.storage import ChunkStore, VectorStore, create_storage
+
+    c = ChunkStore(spark, str(tmp_path / "c"), lambda x: F.base64(F.encode(x, "UTF-8")), lambda x: F.decode(F.unbase64(x), "UTF-8"))
+    assert c.all().count() == 0
+    c.add(spark.createDataFrame([(5, "a", "one", 1), (6, "b", "two", 2)], "document_id long, document_name string, content string, n int"), ["n"])
+    c.add(spark.createDataFrame([(6, "b", None, 1)], "document_id long, document_name string, content string, n int"), ["n"])
+    c.update(spark.createDataFrame([(1, "ONE")], "chunk_id long, content string"))
+    assert [(r.chunk_id, r.content) for r in c.all().orderBy("chunk_id").collect()] == [(1, "ONE"), (2, "two"), (3, None)]
+    assert c.folder.read().where("content = 'ONE'").count() == 0
+    assert c.delete(spark.createDataFrame([(6,), (9,)], "document_id long")) == 2 and ChunkStore(spark, str(tmp_path / "c")).all().count() == 1
+    v = create_storage(spark, "index", str(tmp_path / "v"), dims=2, metric="cosine")
+    v.add(spark.createDataFrame([(1, 5, [1.0, 0.0]), (2, 6, [0.0, 1.0]), (3, 5, [1.0, 1.0])], "id long, document_id long, vector array<float>"))
+    q = spark.createDataFrame([(0, [2.0, 0.1])], "query_id long, vector array<float>")
+    assert [r.id for r in v.search(q, 2).orderBy("rank").collect()] == [1, 3] and [r.id for r in v.as_retriever(3, 0.9)(q).collect()] == [1] and [r.id for r in v.search(q, 3, [6]).collect()] == [2]
+    assert v.delete(spark.createDataFrame([(1,), (8,)], "id long")) == 1 and v.count() == 2
+    v.update(spark.createDataFrame([(2, [5.0, 0.0])], "id long, vector array<float>"))
+    assert [r.id for r in v.search(q, 1).collect()] == [2]
+    v.clear()
+    assert v.count() == 0 and v.search(q, 1).count() == 0
+    v.drop()
+    assert v.count() == 0
+    for f in (lambda: VectorStore(spark, "x", kind="none"), lambda: create_storage(spark, "other", "x")):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_concepts_and_graph_building(spark):
+    from terrane.operators import concepts as N
+
+    docs = spark.createDataFrame([("T1", "f1"), ("T2", "f2"), (None, "f3")], "text string, source string")
+    said = {"E": '[{"头实体": "a", "关系": "knows", "尾实体": "b"}, {"头实体": "x", "关系": "is", "尾实体": "x"}]', "G": '[{"事件": "ev", "实体": ["a", ""]}]', "V": "[]"}
+    answer = lambda p: F.when(p.startswith("E"), said["E"]).when(p.startswith("G"), said["G"]).otherwise(said["V"])
+    nodes, edges, vectors = N.build_graph(docs, answer, {"entity_relation": "E", "event_entity": "G", "event_relation": "V"}, lambda c: F.array(F.length(c)))
+    assert {r.id: r.attrs["type"] for r in nodes.collect()} == {"a": "entity", "b": "entity", "ev": "event", "T1": "passage", "T2": "passage"}
+    got = {(r.src, r.dst): (r.relation, r.attrs["file_id"]) for r in edges.collect()}
+    assert got[("a", "b")] == ("knows", "f1,f2") and got[("a", "ev")] == ("participate", "f1,f2") and got[("b", "T2")] == ("text_conclude", "f2") and len(got) == 8
+    assert [(r.id, r.name) for r in vectors.orderBy("id").collect()] == [(0, "T1"), (1, "T2"), (2, "a"), (3, "b"), (4, "ev")]
+    items = N.typed_items(nodes, edges)
+    said_of = N.conceptualize(items, lambda p: F.concat(F.lit("c, "), p), {"entity": "{item}{context}", "relation": "r"}, N.neighbour_context(edges)).withColumn("at", F.lit(1))
+    assert {r.item: r.concepts for r in said_of.collect()}["knows"] == ["c", "r"] and said_of.where("node_type = 'event'").count() == 0
+    clusters = spark.createDataFrame([("c", 1), ("r", 1)], "concept string, cluster int")
+    reps = N.representatives(said_of, clusters)
+    assert {(r.concept, r.representative) for r in reps.collect()} == {("c", "c"), ("r", "c")}
+    n2, e2 = N.attach(nodes, edges, N.concept_strings(said_of, reps, ["at"]))
+    assert {r.attrs.get("synset") for r in n2.where("id in ('a', 'b')").collect()} == {"c"} and e2.where("relation = 'knows'").first().attrs["concepts"] == "c,r"
+    assert one(spark, N.question_paragraphs(F.col("t")), t="x Q1: who?\n参考段落：p1 Q2：who?\n参考段落：p2 Q3: none Q4: a 参考段落 b 参考段落 c") == {"who?": "p2"}
+    assert N.build_graph(docs.limit(0), answer, {"entity_relation": "E", "event_entity": "G", "event_relation": "V"}, lambda c: F.array(F.length(c)))[0].count() == 0
