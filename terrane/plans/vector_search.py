@@ -49,7 +49,7 @@ def dense_threshold(s: SparkSession, d: str) -> DataFrame:
 
 def normalize_vectors(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "dense_model").where("vector is not null and size(vector) = 64 and not exists(vector, x -> isnan(x))")
-    return v.select("id", F.transform(V.normalize_l2(F.col("vector")), lambda x: F.round(x, 6)).alias("vector"))
+    return v.select("id", F.posexplode(V.normalize_l2(F.col("vector"))).alias("pos", "value")).select("id", "pos", (F.round("value", 6) + 0.0).alias("value"))
 
 
 def sparse_topk(s: SparkSession, d: str) -> DataFrame:
@@ -110,7 +110,7 @@ SQL = {
     "dense_lookup": "WITH t AS (" + _sql(f"least({_IP}, 1)", _OIP, 10, 1) + ") SELECT t.query_id, t.id, t.rank, t.score, d.n_chars, 'dense' AS retrieval_type FROM t JOIN documents d ON d.doc_id = t.id",
     "dense_filtered": _sql(_COS, _OCOS, 5, 3, "WHERE x.label IN (1, 3, 5)", "true"),
     "dense_threshold": "SELECT * FROM (" + _sql(f"least({_IP}, 1)", _OIP, 10, 1) + ") WHERE score >= 0.3",
-    "normalize_vectors": "WITH v AS (SELECT id, vector::DOUBLE[] AS v FROM dense_model WHERE vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x))) = 0), n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT id, list_transform(v, lambda x: round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6)) AS vector FROM n",
+    "normalize_vectors": "WITH v AS (SELECT id, vector::DOUBLE[] AS v FROM dense_model WHERE vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x))) = 0), n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT id, (generate_subscripts(v, 1) - 1)::INT AS pos, round(unnest(v) / CASE WHEN n = 0 THEN 1 ELSE n END, 6) + 0.0::DOUBLE AS value FROM n",
     "sparse_topk": "WITH l AS (SELECT id, unnest(map_keys(sparse_vector)) AS idx, unnest(map_values(sparse_vector)) AS w FROM hybrid_model), s AS (SELECT q.id AS query_id, v.id, round(sum(q.w * v.w), 6) AS score FROM l q JOIN l v ON q.idx = v.idx WHERE q.id % 100 = 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 5",
     "sparse_token_max": "WITH l AS (SELECT document_id AS id, unnest(map_keys(sparse_vector))::VARCHAR AS token, unnest(map_values(sparse_vector)) AS w FROM hybrid_model WHERE document_id IS NOT NULL) SELECT id, token, round(max(w), 6) AS weight FROM l GROUP BY 1, 2 HAVING max(w) > 0",
     "sparse_serialize": "SELECT id, '{' || array_to_string(list_transform(list_sort(map_keys(sparse_vector)), lambda k: k || ':' || round(sparse_vector[k] * 1000)::BIGINT), ',') || '}/100000' AS text FROM hybrid_model WHERE sparse_vector IS NOT NULL",
