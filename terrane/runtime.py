@@ -34,12 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset and the executors
     are this process (tests)."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not conf and known.isDefined():
+        return known.get().rstrip("/")
     if not conf:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = "file://" + os.path.join(tempfile.gettempdir(), "terrane-shared")
         spark.conf.set("spark.checkpoint.dir", conf)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if known.isEmpty():
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
