@@ -6,20 +6,22 @@ and gives posteriors. Labels whose posterior passes its cutoff are kept, so a pa
 chosen on the labelled pairs of VALIDATION.
 
 The functions of a defect look at different things. Beside phrases, punctuation and scripts they use three small models,
-fitted on bounded samples: character profiles of languages (DOCUMENTS texts with a language and the sentences of SEEDS), a
-character n-gram classifier of refusals (REFUSALS against truth statements) and the statistics of how statements end
-(STATEMENTS truth statements); besides these the statements that are known to be true, where there are any.
+fitted on every row: character profiles of languages (all texts with a language and the sentences of SEEDS), a character
+n-gram classifier of refusals (REFUSALS against all truth statements) and the statistics of how truth statements end;
+besides these the statements that are known to be true, where there are any. The models are counts of hashed n-grams:
+executors count, the sums reach the driver (at most 2 ** 15 a language, 2 ** 15 + 2 ** 13 for the statements).
 
 Defined results: a null answer, no statements or null statements are `empty`; a null question can be neither copied
-nor in another language; pairs delivered twice are one pair; pairs without an id are left out; very long answers are
-read whole; an empty table gives no rows; without truths and documents the models know the fixed sentences only.
+nor in another language; pairs delivered twice are one pair and pairs without an id are left out, also of the models;
+very long answers are read whole; an empty table gives no rows; without truths and documents the models know the fixed
+sentences only.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,11 @@ from terrane.llm.fingerprints import gram_hashes
 from terrane.llm.fingerprints import joined as in_a_row
 from terrane.runtime import materialize
 
-#: Texts the language profiles, and truth statements the other models are fitted on at most.
-DOCUMENTS, STATEMENTS = 2_000, 4_000
+#: Characters whose n-grams are hashed at once, languages a task counts before it hands them on.
+PIECE, LANGUAGES = 1 << 14, 64
+#: What the n-grams counted for a model weigh at most beside its smoothing and its seeds: all of them are counted, and
+#: their shares then say the same in a table of any size; else the smoothing fades and each new n-gram says more and more.
+WEIGHT = 1 << 18
 #: Letters below which a profile says nothing; nats by which one language must lead.
 LETTERS, LEAD = 14, 4.0
 
@@ -151,9 +156,13 @@ def language(s: str | None) -> str | None:
     return None
 
 
+def _padded(t: str) -> str:
+    return f" {t.casefold()} "
+
+
 def _buckets(texts: list[str], n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every character n-gram; texts get a blank on either side, digits count as one."""
-    c, at = in_a_row([f" {t.casefold()} " for t in texts])
+    """(text, bucket) of every character n-gram of padded texts; digits count as one."""
+    c, at = in_a_row(texts)
     c = np.where((c >= 48) & (c <= 57), 48, c)
     h, size = gram_hashes(c, n), np.maximum(np.diff(at) - n + 1, 0)
     doc = np.repeat(np.arange(len(texts)), size)
@@ -161,32 +170,47 @@ def _buckets(texts: list[str], n: int, bits: int) -> tuple[np.ndarray, np.ndarra
     return doc, (h[pos] >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _counted(texts: Iterable[str], n: int, bits: int) -> np.ndarray:
+    """How often each bucket occurs in all texts; a text beyond PIECE is cut so that each n-gram lies in one piece."""
+    total, some, size = np.zeros(1 << bits, np.int64), [], 0
+    for t in map(_padded, texts):
+        for i in range(0, len(t) - n + 1, PIECE):
+            some.append(t[i : i + PIECE + n - 1])
+            size += len(some[-1])
+            if size >= PIECE:
+                total += np.bincount(_buckets(some, n, bits)[1], minlength=1 << bits)
+                some, size = [], 0
+    return total + np.bincount(_buckets(some, n, bits)[1], minlength=1 << bits)
+
+
 class Evidence:
-    """Language profiles, refusal classifier and ending statistics; small, broadcast whole."""
+    """Language profiles, refusal classifier and ending statistics; small, broadcast whole.
 
-    BITS = 15
+    `seen` has the counts of `language_counts` by language and those of `statement_counts` by "+others", "+ends", "+inner".
+    """
 
-    def __init__(self, texts: list[tuple[str, str]] = (), truths: list[str] = ()):
-        own: dict[str, list[str]] = {k: [v] * 3 for k, v in SEEDS.items()}
-        for lang, t in texts:
-            t = _NAME.sub(" ", t or "")
-            if (k := (lang or "").strip().lower()[:2]).isalpha() and k not in _SCRIPTS and not by_script(t):
-                own.setdefault(k, []).append(t)
+    BITS, TAIL_BITS = 15, 12
+
+    def __init__(self, seen: dict[str, np.ndarray] | None = None):
+        seen = dict(seen or {})
+        others, ends, inner = (seen.pop(k, 0) for k in ("+others", "+ends", "+inner"))
+        own = {k: 3 * _counted([v], 3, self.BITS) for k, v in SEEDS.items()}
+        for k, n in seen.items():
+            own[k] = own.get(k, 0) + self._weighed(n)
         self.languages = sorted(own)
-        self.profiles = np.stack([self._log(own[k], 3, 0.3) for k in self.languages])
-        spoken = REFUSALS.split("|")
-        others = REPORTS.split("|") * 3 + list(SEEDS.values()) + [t for t in truths if t]
-        self.refusal = self._log(spoken * 3, 4, 0.05) - self._log(others, 4, 0.05)
-        ends, inner = np.full(1 << 12, 0.5), np.full(1 << 12, 0.5)
-        for t in truths:
-            k = self._tails(t)
-            ends[k[-1:]] += 1
-            np.add.at(inner, k[:-1], 1)
-        self.ending = np.log(ends / inner) if len(truths) else np.zeros(1 << 12)
+        self.profiles = np.stack([self._log(own[k], 0.3) for k in self.languages])
+        spoken = 3 * _counted(REFUSALS.split("|"), 4, self.BITS)
+        others = self._weighed(others) + 3 * _counted(REPORTS.split("|"), 4, self.BITS) + _counted(SEEDS.values(), 4, self.BITS)
+        self.refusal = self._log(spoken, 0.05) - self._log(others, 0.05)
+        self.ending = np.log((ends + 0.5) / (inner + 0.5)) + np.zeros(1 << self.TAIL_BITS)
+
+    @staticmethod
+    def _weighed(count: np.ndarray) -> np.ndarray:
+        return count * min(1.0, WEIGHT / max(np.sum(count), 1))
 
-    def _log(self, texts: list[str], n: int, smooth: float) -> np.ndarray:
-        count = np.bincount(_buckets(texts, n, self.BITS)[1], minlength=1 << self.BITS) + smooth
-        return np.log(count / count.sum())
+    @staticmethod
+    def _log(count: np.ndarray, smooth: float) -> np.ndarray:
+        return np.log((count + smooth) / (count + smooth).sum())
 
     @staticmethod
     def _tails(t: str) -> np.ndarray:
@@ -195,14 +219,14 @@ class Evidence:
 
     def leads(self, texts: list[str]) -> list[dict[str, float]]:
         """Per text and language the nats by which it falls behind the best; empty where there are too few letters."""
-        doc, bucket = _buckets(texts, 3, self.BITS)
+        doc, bucket = _buckets(list(map(_padded, texts)), 3, self.BITS)
         total = np.stack([np.bincount(doc, row[bucket], minlength=len(texts)) for row in self.profiles], axis=1)
         behind = total.max(1, keepdims=True) - total
         return [dict(zip(self.languages, r)) if sum(map(str.isalpha, t)) >= LETTERS else {} for t, r in zip(texts, behind.tolist())]
 
     def declining(self, texts: list[str]) -> list[float]:
         """Mean log odds of the text's n-grams for a refusal."""
-        doc, bucket = _buckets(texts, 4, self.BITS)
+        doc, bucket = _buckets(list(map(_padded, texts)), 4, self.BITS)
         n = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
         return (np.bincount(doc, self.refusal[bucket], minlength=len(texts)) / n).tolist()
 
@@ -385,11 +409,57 @@ def _vote_batches(shared):
     return run
 
 
+_COUNTS = "model string, slot int, n bigint"
+
+
+def _count_rows(seen: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for k, n in seen.items():
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["model", "slot", "n"])
+
+
+def language_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the 3-grams of texts (lang, text) by language, without languages that their script tells."""
+    seen: dict[str, np.ndarray] = {}
+    for b in batches:
+        own: dict[str, list[str]] = {}
+        for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if (k := lang.strip().lower()[:2]).isalpha() and k not in _SCRIPTS and not by_script(t := _NAME.sub(" ", t)):
+                own.setdefault(k, []).append(t)
+        for k, texts in own.items():
+            seen[k] = seen.get(k, 0) + _counted(texts, 3, Evidence.BITS)
+            if len(seen) >= LANGUAGES:
+                yield from _count_rows(seen)
+                seen = {}
+    yield from _count_rows(seen)
+
+
+def statement_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the 4-grams of statements, of their last two characters and of all pairs of characters before."""
+    grams = np.zeros(1 << Evidence.BITS, np.int64)
+    ends, inner = np.zeros((2, 1 << Evidence.TAIL_BITS), np.int64)
+    for b in batches:
+        texts = b.column(0).to_pylist()
+        grams += _counted(filter(None, texts), 4, Evidence.BITS)
+        for k in map(Evidence._tails, texts):
+            ends[k[-1:]] += 1
+            np.add.at(inner, k[:-1], 1)
+    yield from _count_rows({"+others": grams, "+ends": ends, "+inner": inner})
+
+
 def evidence(pairs: DataFrame, texts: DataFrame | None = None) -> Evidence:
-    """The three models, from at most DOCUMENTS of `texts` (lang, text) and STATEMENTS true statements."""
-    truths = pairs.select(F.explode("ground_truth").alias("t")).where("t is not null").limit(STATEMENTS).collect()
-    known = [] if texts is None else texts.select("lang", "text").where("lang is not null and text is not null").limit(DOCUMENTS).collect()
-    return Evidence([(r[0], r[1]) for r in known], [r[0] for r in truths])
+    """The three models, from all `texts` (lang, text) and all true statements of different pairs."""
+    truths = pairs.where("pair_id is not null").select("pair_id", "ground_truth").distinct()
+    counts = truths.select(F.explode("ground_truth").alias("t")).where("t is not null").mapInArrow(statement_counts, _COUNTS)
+    if texts is not None:
+        scripted = F.substring(F.lower(F.trim("lang")), 1, 2).isin(*_SCRIPTS)
+        counts = counts.union(texts.select("lang", "text").where("lang is not null and text is not null").where(~scripted).mapInArrow(language_counts, _COUNTS))
+    got = counts.groupBy("model", "slot").agg(F.sum("n").alias("n")).toArrow()
+    model = got["model"].combine_chunks().dictionary_encode()
+    total = np.zeros((len(model.dictionary), 1 << Evidence.BITS), np.int64)
+    total[model.indices.to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
+    seen = {k: n[: 1 << Evidence.TAIL_BITS] if k in ("+ends", "+inner") else n for k, n in zip(model.dictionary.to_pylist(), total)}
+    return Evidence(seen)
 
 
 def vote_table(pairs: DataFrame, model: Evidence) -> DataFrame:

@@ -1,4 +1,8 @@
-from terrane.llm.answers import DEFECTS, VALIDATION, Evidence, all_votes, defects, language, main_defect
+import numpy as np
+import pyarrow as pa
+
+from terrane.llm import answers as A
+from terrane.llm.answers import DEFECTS, VALIDATION, Evidence, all_votes, defects, evidence, language, main_defect
 
 #: (question, answer, truth, defects): the cutoffs never see these.
 HELD = [
@@ -90,3 +94,47 @@ def test_language():
     assert [language(t) for t in ("The group of Anori is slow.", "Die Gruppe darf nicht warten.", "Le groupe peut ouvrir les pages.", "安诺里会清理页面。", "Anori-7", "No comment.", "これはペンです。", None)] == ["en", "de", "fr", "zh", None, None, "ja", None]
     v = all_votes([("Where is it?", ["No comment."], None)], Evidence())[0]
     assert "+" not in v["other_language"] and v["refusal"].startswith("+")
+
+
+def test_models_count_every_row(spark):
+    # what decides lies behind the first 4,000 statements and 2,000 texts
+    said = [f"line {n} of the list is kept~" if n >= 4000 else f"line {n} of the list is kept." for n in range(5000)]
+    pairs = frame(spark, [(n, "Which line?", ["1"], [t, None]) for n, t in enumerate(said)])
+    texts = [("en", "The rows of the list are kept in the night.")] * 2500 + [("Sv-SE", "Raderna i listan sparas alltid under natten och städas sedan bort.")] * 9 + [("zh", "每晚清理页面。"), ("", "x"), (None, "y"), ("en", None)]
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    model = evidence(pairs.coalesce(1), docs.coalesce(1))
+    assert "sv" in model.languages and "zh" not in model.languages
+    grams = [f" {t} "[i : i + 4].casefold() for t in said for i in range(len(t) - 1)]
+    one = next(iter(A.statement_counts(iter([pa.RecordBatch.from_arrays([pa.array(said)], ["t"])]))))
+    assert sum(one["n"].to_pylist()) == len(grams)
+    slot = lambda two: (ord(two[1]) * 31 + ord(two[0])) % 4096
+    for end in ("t~", "t."):
+        last = sum(slot(t[-2:]) == slot(end) for t in said)
+        inner = sum(slot(t[i : i + 2]) == slot(end) for t in said for i in range(len(t) - 2))
+        assert last in (1000, 4000) and abs(model.ends(end) - np.log((last + 0.5) / (inner + 0.5))) < 1e-9
+    lead = model.leads(["Raderna sparas under natten"])[0]
+    assert lead["sv"] == 0 and lead["en"] > A.LEAD
+    # the order and number of parts and a second delivery change nothing, nor do pairs without an id
+    again = evidence(pairs.union(pairs).union(frame(spark, [(None, "Which line?", ["1"], ["zzzz"])])).repartition(7), docs.repartition(5))
+    assert again.languages == model.languages
+    assert all(np.array_equal(getattr(again, k), getattr(model, k)) for k in ("profiles", "refusal", "ending"))
+
+
+def test_counts_in_pieces(monkeypatch):
+    texts = ["Der Dienst leert die Zeilen 12 und 7.", "", "ab", "İstanbul ß " * 50]
+    whole = np.bincount(A._buckets([A._padded(t) for t in texts], 3, 15)[1], minlength=1 << 15)
+    codes = [(a + b, "die zeilen bleiben.") for a in "bcdefghi" for b in "klmnopqrst"] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in codes]) for i in (0, 1)], ["lang", "text"])
+    for piece, languages in ((1 << 14, 64), (7, 3)):
+        monkeypatch.setattr(A, "PIECE", piece)
+        monkeypatch.setattr(A, "LANGUAGES", languages)
+        assert np.array_equal(A._counted(texts, 3, 15), whole)
+        rows = [r for b in A.language_counts(iter([batch, batch])) for r in b.to_pylist()]
+        assert sum(r["n"] for r in rows) == 2 * len(codes) * len("die zeilen bleiben.") and {r["model"] for r in rows} == {x[0] for x in codes}
+
+
+def test_votes_do_not_depend_on_the_size_of_the_table():
+    seen = {"en": A._counted(["The rows of the list are kept in the night."] * 9000, 3, 15), "+others": A._counted(["The rows are kept in the night."] * 12000, 4, 15)}
+    more = {k: 1000 * n for k, n in seen.items()}
+    rows = [x[:3] for x in HELD + VALIDATION]
+    assert all_votes(rows, Evidence(seen)) == all_votes(rows, Evidence(more))
